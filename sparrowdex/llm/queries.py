@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import encode, leaks, postings, seen, sitelines
+from sparrowdex.llm import encode, leaks, neardup, postings, seen, sitelines
+from sparrowdex.llm.common import current_records
 from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
 
@@ -47,6 +48,21 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, d, "docs"), 5, "clusters")
 
 
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    return through_table(current_records(table(spark, d, "docs"), ["title", "content"]).select("id", text.alias("text")), "page-texts")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of current records with 60 % of their three-word sequences in common."""
+    return neardup.all_pairs(*neardup.similar_pairs(_page_texts(spark, d), 3, 0.6))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every current record with its class of equal shingle sets and that class's number of links."""
+    return neardup.linked_records(*neardup.similar_pairs(_page_texts(spark, d), 5, 0.8))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms heavy in a record and shared by only a few others."""
     return postings.log_entropy(postings.resolved_postings(table(spark, d, "postings")), 2, 25, 5).select("doc_id", "term")
@@ -74,7 +90,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"), 12, 1)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p7_found, p7_weights, p8_ids, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p7_found, p7_weights, p8_ids, p9_found, p9_report)}
 
 RESOLVED = r"""
 resolved AS (
