@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import encode, leaks, neardup, postings, seen, sitelines
-from sparrowdex.llm.common import current_records
+from sparrowdex.llm import boiler, encode, leaks, neardup, postings, seen, sitelines, spam
+from sparrowdex.llm.common import current_records, site
 from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Current records with what the page operators need, kept in the shared folder."""
+    now = current_records(table(spark, d, "docs"), ["title", "content", "outgoing_links", "content_type", "domain", "url"])
+    links = F.when(F.col("outgoing_links").isNotNull(), F.size("outgoing_links")).otherwise(0)
+    named = site(F.col("domain"), F.col("url"))
+    return through_table(now.select("id", "title", "content", links.alias("links"), boiler.is_web_page(F.col("content_type")).alias("web"), named.alias("site")), "pages")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Current records that serve keywords, link lists or product tags in place of sentences."""
+    return spam.list_pages(_pages(spark, d), table(spark, d, "page_labels")).where("spam").select("id")
+
+
+def p1_features(spark: SparkSession, d: str) -> DataFrame:
+    """The features of every current record and the decision."""
+    f = spam.list_pages(_pages(spark, d), table(spark, d, "page_labels"))
+    return f.select("id", *[F.round(F.col("f")[i], 6).alias(n) for i, n in enumerate(spam.FEATURES)], "spam")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms in too few or too many records."""
     return p2_term_frequencies(spark, d).where("mark IS NOT NULL").select("term", "mark")
@@ -63,6 +82,22 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.linked_records(*neardup.similar_pairs(_page_texts(spark, d), 5, 0.8))
 
 
+def _web_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = _pages(spark, d)
+    cases = spam.list_pages(pages, table(spark, d, "page_labels")).where("spam").select("id")
+    return pages.where("web").join(cases, "id", "left_anti").select("id", "site", "title", "content")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of web pages that aren't the page's own."""
+    return boiler.furniture_lines(_web_pages(spark, d))
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every web page's text without its furniture."""
+    return boiler.main_text(_web_pages(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms heavy in a record and shared by only a few others."""
     return postings.log_entropy(postings.resolved_postings(table(spark, d, "postings")), 2, 25, 5).select("doc_id", "term")
@@ -90,7 +125,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"), 12, 1)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p7_found, p7_weights, p8_ids, p9_found, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p6_found, p6_main_text, p7_found, p7_weights, p8_ids, p9_found, p9_report)}
 
 RESOLVED = r"""
 resolved AS (
