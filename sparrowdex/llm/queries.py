@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.llm import boiler, encode, leaks, neardup, postings, seen, sitelines, spam
+from sparrowdex.llm import boiler, encode, leaks, neardup, postings, seen, sentences, sitelines, spam
 from sparrowdex.llm.common import current_records, site
 from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
@@ -125,7 +125,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "eval_items"), 12, 1)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p6_found, p6_main_text, p7_found, p7_weights, p8_ids, p9_found, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p6_found, p6_main_text, p7_found, p7_weights, p8_ids, p9_found, p9_report, p10_found)}
 
 RESOLVED = r"""
 resolved AS (
