@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparrowdex.llm.common import INLINE_BLANKS, current_records, digest, site, trimmed
 from sparrowdex.operators.skew import join_stats
+from sparrowdex.session import through_table
 
 
 def same_lines(content: Column) -> Column:
@@ -20,30 +21,38 @@ def same_lines(content: Column) -> Column:
 
 
 def _records(docs: DataFrame) -> DataFrame:
-    now = current_records(docs, ["content", "domain", "url", "crawled_at"])
-    return now.where("content IS NOT NULL").select("id", site(F.col("domain"), F.col("url")).alias("site"), "content", F.to_date("crawled_at").alias("day"))
+    """(id, site, content, day) of current records with a site and a text, kept in the shared folder as it is read thrice."""
+    now = current_records(docs, ["content", "domain", "url", "crawled_at"]).where("content IS NOT NULL AND content <> ''")
+    named = now.select("id", site(F.col("domain"), F.col("url")).alias("site"), "content", F.to_date("crawled_at").alias("day"))
+    return through_table(named.where("site IS NOT NULL"), "records")
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
-    """(site, h1, h2, line_rows, records, clusters, days) of every distinct non-blank line of a site.
+def _keyed(site_name: Column, line: Column) -> list[Column]:
+    """128 bits that stand for a line of a site."""
+    return [F.xxhash64(site_name, line).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), line, site_name).alias("h2")]
 
-    Duplicate documents are collapsed first: records of one site with the same text are one cluster, of which only the
-    member with the least id is split into lines. A line's `clusters` and `days` (publication dates of clusters, by the
-    first member's date) tell notices from republished articles; `records` counts the members of its clusters, and
-    `line_rows` all lines of all of them. Records without a site form the site null, which is never counted.
-    """
-    now = _records(docs).where("site IS NOT NULL").withColumns(dict(zip(("c1", "c2"), digest(F.col("content")))))
-    clusters = now.groupBy("site", "c1", "c2").agg(F.min(F.struct("id", "content", "day")).alias("first"), F.count("*").alias("members"))
-    lines = clusters.select("site", "c1", "members", F.col("first.day").alias("day"), F.filter(same_lines(F.col("first.content")), lambda x: x != "").alias("lines"))
-    each = lines.select("site", "c1", "members", "day", F.explode("lines").alias("line")).select("site", *_named(digest(F.col("line"))), "c1", "members", "day")
-    once = each.groupBy("site", "h1", "h2", "c1").agg(F.first("members").alias("members"), F.first("day").alias("day"), F.count("*").alias("times"))
-    return once.groupBy("site", "h1", "h2").agg(
-        F.sum(F.col("times") * F.col("members")).alias("line_rows"), F.sum("members").alias("records"), F.count("*").alias("clusters"), F.approx_count_distinct("day", 0.02).alias("days")
+
+def _counts(now: DataFrame) -> DataFrame:
+    c = digest(F.col("content"))
+    clusters = now.select("id", "site", c[0].alias("c1"), c[1].alias("c2")).groupBy("site", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("members"))
+    lines = now.join(clusters.select("id", "members"), "id").select("site", "day", "members", same_lines(F.col("content")).alias("lines"))
+    each = lines.select("site", "day", "members", "lines", F.posexplode("lines").alias("i", "line")).where("line <> ''")
+    first = (F.array_position("lines", F.col("line")) == F.col("i") + 1).cast("int")
+    daily = each.select(*_keyed(F.col("site"), F.col("line")), "day", "members", first.alias("first")).groupBy("h1", "h2", "day").agg(
+        F.sum("members").alias("line_rows"), F.sum(F.col("members") * F.col("first")).alias("records"), F.sum("first").alias("clusters")
     )
+    return daily.groupBy("h1", "h2").agg(F.sum("line_rows").alias("line_rows"), F.sum("records").alias("records"), F.sum("clusters").alias("clusters"), F.count("*").alias("days"))
 
 
-def _named(cols: list[Column]) -> list[Column]:
-    return [c.alias(n) for c, n in zip(cols, ("h1", "h2"))]
+def line_counts(docs: DataFrame) -> DataFrame:
+    """(h1, h2, line_rows, records, clusters, days) of every distinct non-blank line of a site, (h1, h2) standing for both.
+
+    Duplicate documents are collapsed first: records of one site with the same text are one cluster, of which only the
+    member with the least id is split into lines. A line's `clusters` and `days` (different dates of the clusters' first
+    members) tell notices from republished articles; `records` counts the members of its clusters, and `line_rows` all
+    its lines in all of them. Records without a site or text have no lines.
+    """
+    return _counts(_records(docs))
 
 
 def repeated_lines(docs: DataFrame, least: int = 5, by: str = "records") -> DataFrame:
@@ -52,9 +61,10 @@ def repeated_lines(docs: DataFrame, least: int = 5, by: str = "records") -> Data
     by: 'records' counts ids, 'clusters' counts texts, so that copies of one article don't make boilerplate of it.
     Null and empty texts have no lines; blank lines are never in the result. Hot lines are spread by id.
     """
-    lines = _records(docs).where("site IS NOT NULL").select("id", "site", F.posexplode(same_lines(F.col("content"))).alias("line_no", "line")).where("line <> ''")
-    keyed = lines.select("id", "site", "line_no", *_named(digest(F.col("line"))))
-    return join_stats(keyed, line_counts(docs), ["site", "h1", "h2"], "line_rows", "id", f"{by} >= {int(least)}").select("id", "line_no", "records", "clusters", "days")
+    now = _records(docs)
+    lines = now.select("id", "site", F.posexplode(same_lines(F.col("content"))).alias("line_no", "line")).where("line <> ''")
+    keyed = lines.select("id", "line_no", *_keyed(F.col("site"), F.col("line")))
+    return join_stats(keyed, _counts(now), ["h1", "h2"], "line_rows", "id", f"{by} >= {int(least)}").select("id", "line_no", "records", "clusters", "days")
 
 
 def without_repeated_lines(docs: DataFrame, least: int = 5, by: str = "clusters") -> DataFrame:
