@@ -86,7 +86,7 @@ def soundex(word: Column | str) -> Column:
     rest = F.regexp_replace(F.regexp_replace(F.substring(codes, 2, 1 << 20), "0", ""), "([1-6])\\1+", "$1")
     lead = F.substring(codes, 1, 1)
     tail = F.when(F.substring(rest, 1, 1) == lead, F.substring(rest, 2, 1 << 20)).otherwise(rest)
-    return F.when(F.length(word) > 0, F.rpad(F.concat(F.substring(up, 1, 1), tail), 4, "0")).otherwise(word)
+    return F.when(F.length(word) > 0, F.rpad(F.concat(F.substring(up, 1, 1), tail), 4, "0")).otherwise(F.col(word) if isinstance(word, str) else word)
 
 
 def char_bigrams(word: Column | str) -> Column:
