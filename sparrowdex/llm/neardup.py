@@ -21,8 +21,8 @@ SKETCH = 1 << 22
 BLOCK = 1 << 14
 #: Bits of the filter that keeps the texts of candidates, broadcast as 1 MB.
 FILTER_BITS = 1 << 23
-#: Documents a group holds on average, common tokens that open a group, and ratio of sizes in one size class.
-GROUP, LEAST, RATIO = 8, 3, 1.1
+#: Common first tokens that open a group: this share of the query set's size, from 1 to LEAST. Ratio of sizes in one class.
+OPENING, LEAST, RATIO = 0.04, 10, 1.05
 
 
 class _Codes(dict):
@@ -92,8 +92,8 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
 def _signatures(texts: DataFrame, k: int, levels: np.ndarray, share: float) -> DataFrame:
     """Per text with a shingle: (id, n, d1, d2, low, x, at).
 
-    n is the size of its set, (d1, d2) 128 bits of it, low its least token; x are its rarest tokens, as far as a
-    common one must be among them (see `similar_pairs`), in 32 bits, and `at` their places from rare to frequent.
+    n is the size of its set, (d1, d2) 128 bits of it; x are its rarest tokens, as far as a common one must
+    be among them (see `similar_pairs`), in 32 bits, `at` their places from rare to frequent, and low the least of them.
     Tokens that no other text has are left out.
     """
     sent = texts.sparkSession.sparkContext.broadcast(levels)
@@ -112,7 +112,7 @@ def _signatures(texts: DataFrame, k: int, levels: np.ndarray, share: float) -> D
                 order = np.lexsort((h, level))[: n - math.ceil(share * n - 1e-9) + LEAST]
                 at = np.flatnonzero(level[order] > 8)  # 8: counted once
                 ids.append(i)
-                for c, v in zip(cols, (n, d & (1 << 63) - 1, d >> 65, int(h[0] >> np.uint64(1)), (h[order[at]] >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32))):
+                for c, v in zip(cols, (n, d & (1 << 63) - 1, d >> 65, int(h[order[at]].min() >> np.uint64(1)) if len(at) else 0, (h[order[at]] >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32))):
                     c.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["id", "n", "d1", "d2", "low", "x", "at"])
@@ -129,37 +129,63 @@ def similar_pairs(texts: DataFrame, k: int = 5, share: float = 0.8) -> tuple[Dat
 
     Equal sets are collapsed. Tokens are ordered from rare to frequent. With J >= t, sets of n >= m tokens share
     o >= t / (1 + t) * (n + m) of them, so the first l common ones are among the first n - o + l of the one and m - o + l
-    of the other. Sets are partitioned into groups by size class and least token (equal for similar sets in most
-    cases); the matrix holds for each token the groups in whose union of such first tokens it is. A query set meets it
-    with its own first tokens, and a group is opened if at least l of them meet it within those bounds, l being LEAST
-    or o if that is less. Opened groups give pairs, which are compared by their whole texts.
+    of the other. Sets are partitioned into groups by size class and least rare token (equal for similar sets in
+    most cases); the matrix holds for each token the groups in whose union of such first tokens it is. A query set meets it
+    with its own first tokens, and a group is opened if at least l of them meet it within those bounds, l being OPENING of
+    its size. Opened groups give pairs, which are compared by their whole texts.
     """
     texts = texts.select("id", "text")
     levels = _sketch(texts, k)
     marks = through_table(_signatures(texts, k, levels, share), "signatures")
     members = _members(marks)
     reps = marks.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "low", "x", "at")).alias("r")).select("r.*")
-    groups = max(1, marks.count() // GROUP)
     size_class = F.floor(F.ln(F.col("n")) / math.log(RATIO) + 1e-9).cast("long")
-    reps = reps.withColumn("g", size_class * F.lit(1 << 40) + F.pmod("low", F.lit(groups)))
-    reps = through_table(reps.select("id", "n", "g", "x", "at"), "sets")
+    reps = reps.withColumn("g", size_class * F.lit(1 << 40) + F.pmod("low", F.lit(1 << 40)))
     h = share / (1 + share)
-
-    index = reps.select("g", "n", F.explode(F.arrays_zip("x", "at")).alias("p")).where(F.col("n") - F.col("p.at") >= F.ceil(F.lit(2 * h) * F.col("n") - 1e-9) - LEAST + 1)
-    matrix = index.select(F.col("p.x").alias("x"), "g").distinct()
-    probe = reps.select(F.col("id").alias("q"), "n", F.explode(F.arrays_zip("x", "at")).alias("p")).select("q", "n", F.col("p.x").alias("x"), F.col("p.at").alias("i"))
-    # the sizes in class c lie in [RATIO ** c, RATIO ** (c + 1)); rounded outwards
-    low = F.pow(F.lit(RATIO), F.shiftright("g", 40)) - 1e-6
-    least = F.greatest(low, F.lit(share) * F.col("n"))
-    need = F.ceil(F.lit(h) * (F.col("n") + least) - 1e-6)
-    met = probe.join(matrix, "x").where((low <= F.col("n")) & (low * RATIO + 1e-3 >= F.lit(share) * F.col("n")) & (F.col("n") - F.col("i") >= need - LEAST + 1))
-    opened = met.groupBy("q", "n", "g").agg(F.count("*").alias("c")).where(F.col("c") >= F.least(F.lit(LEAST), F.ceil(F.lit(share) * F.col("n") - 1e-9)))
+    wanted = F.greatest(F.lit(1), F.least(F.lit(LEAST), F.floor(OPENING * F.col("n")))).cast("int")
+    # With n - i >= h * (n + m) - l + 1 for the one and m - j >= h * (n + m) - l + 1 for the other, what depends on a
+    # set and a place is its slack, n * (1 - h) - i; a group's is that of its best member.
+    spark = texts.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # rows laid out by part meet there
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    laid = reps.select("id", "n", "g", "x", "at").mapInArrow(_by_part(parts), "part int, q long, n int, g long, x array<int>, at array<int>").repartition(parts, "part")
+    each = laid.select("part", "q", "n", "g", F.explode(F.arrays_zip("x", "at")).alias("p"))
+    slack = F.col("n") * (1 - h) - F.col("p.at")
+    matrix = each.where(slack >= h * F.col("n") / RATIO - wanted + 0.98).groupBy("part", F.col("p.x").alias("x"), "g").agg(F.max(slack).alias("slack"))
+    probe = each.select("part", F.col("p.x").alias("x"), "q", "n", slack.alias("own"))
+    # the sizes in class c lie in [RATIO ** c, RATIO ** (c + 1)); all rounded outwards
+    low = F.pow(F.lit(RATIO), F.shiftright("g", 40)) * (1 - 1e-6)
+    fits = (low <= F.col("n")) & (low * RATIO * (1 + 1e-5) >= F.lit(share) * F.col("n"))
+    near = (F.col("own") >= h * F.greatest(low, share * F.col("n")) - wanted + 0.99) & (F.col("slack") >= h * F.col("n") - wanted + 0.99)
+    met = probe.join(matrix, ["part", "x"]).where(fits & near)
+    opened = met.groupBy("q", "g").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= wanted)
     inside = reps.select(F.col("id").alias("s"), F.col("n").alias("m"), "g")
     pairs = opened.select("q", "n", "g").join(inside, "g").where("m < n OR (m = n AND s < q)").where(F.col("m") >= F.lit(share) * F.col("n") - 1e-9).select("q", "s")
     pairs = through_table(pairs, "candidates")
     return _verified(pairs, texts, k, share), members
 
 
+def _by_part(parts: int):
+    """Rows of sets, cut into one row for each part of the tokens: a token's rows meet, at a few bytes a token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, at = batch.column(3), batch.column(4)
+            size = np.diff(x.offsets.to_numpy())
+            row = np.repeat(np.arange(len(size)), size)
+            tokens, places = x.flatten().to_numpy(), at.flatten().to_numpy()
+            part = tokens.astype(np.int64) % parts
+            order = np.lexsort((places, part, row))
+            row, part = row[order], part[order]
+            new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
+            offsets = pa.array(np.r_[new, len(row)].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[order].astype(np.int32))) for v in (tokens, places)]
+            own = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), *[batch.column(c).take(own) for c in (0, 1, 2)], *lists], ["part", "q", "n", "g", "x", "at"])
+
+    return run
+
+
 def _members(marks: DataFrame) -> DataFrame:
     """(id, class): a join with the least id of the set, so that a set with very many copies is no hot window."""
     first = marks.groupBy("d1", "d2").agg(F.min("id").alias("class"), F.count("*").alias("copies"))
