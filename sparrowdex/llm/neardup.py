@@ -148,7 +148,7 @@ def similar_pairs(texts: DataFrame, k: int = 5, share: float = 0.8) -> tuple[Dat
     spark = texts.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # rows laid out by part meet there
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = reps.select("id", "n", "g", "x", "at").mapInArrow(_by_part(parts), "part int, q long, n int, g long, x array<int>, at array<int>").repartition(parts, "part")
+    laid = reps.select("id", "n", "g", "x", "at").mapInArrow(_by_part(_even_labels(spark, parts)), "part int, q long, n int, g long, x array<int>, at array<int>").repartition(parts, "part")
     each = laid.select("part", "q", "n", "g", F.explode(F.arrays_zip("x", "at")).alias("p"))
     slack = F.col("n") * (1 - h) - F.col("p.at")
     matrix = each.where(slack >= h * F.col("n") / RATIO - wanted + 0.98).groupBy("part", F.col("p.x").alias("x"), "g").agg(F.max(slack).alias("slack"))
@@ -165,7 +165,14 @@ def similar_pairs(texts: DataFrame, k: int = 5, share: float = 0.8) -> tuple[Dat
     return _verified(pairs, texts, k, share), members
 
 
-def _by_part(parts: int):
+def _even_labels(spark, parts: int) -> np.ndarray:
+    """A label for each part such that every partition gets one label when rows are laid out by its hash."""
+    some = spark.range(32 * parts).select(F.col("id").cast("int").alias("label")).select("label", F.pmod(F.hash("label"), F.lit(parts)).alias("p"))
+    first = {r.p: r.label for r in some.groupBy("p").agg(F.min("label").alias("label")).collect()}
+    return np.array([first.get(p, p) for p in range(parts)], np.int32)
+
+
+def _by_part(labels: np.ndarray):
     """Rows of sets, cut into one row for each part of the tokens: a token's rows meet, at a few bytes a token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +181,7 @@ def _by_part(parts: int):
             size = np.diff(x.offsets.to_numpy())
             row = np.repeat(np.arange(len(size)), size)
             tokens, places = x.flatten().to_numpy(), at.flatten().to_numpy()
-            part = tokens.astype(np.int64) % parts
+            part = labels[tokens.astype(np.int64) % len(labels)]
             order = np.lexsort((places, part, row))
             row, part = row[order], part[order]
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])][: len(row)])
