@@ -106,11 +106,13 @@ def spelling_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2)
 
     Candidates are dictionary words at the least distance of a word, `most` at most; words with the same phonetic code;
     and fixed misspellings. Words within distance d share one of their forms with at most d letters left out, so the
-    join is on such forms, never of all with all. Null words have none.
+    join is on such forms, never of all with all. Words longer than the longest dictionary word by more than that have no
+    near one, so no forms of them are made. Null words have none.
     """
     new = words.select("w").where("length(w) > 0").distinct().join(dictionary.select(F.col("word").alias("w")), "w", "left_anti")
     forms = lambda c, d: F.explode(_deletions(c, d))
-    a = new.select("w", forms(F.col("w"), most).alias("form"))
+    longest = dictionary.agg(F.max(F.length("word")).alias("longest"))
+    a = new.crossJoin(F.broadcast(longest)).where(F.length("w") <= F.col("longest") + most).select("w", forms(F.col("w"), most).alias("form"))
     b = dictionary.select(F.col("word").alias("candidate"), "freq", forms(F.col("word"), most).alias("form"))
     near = a.join(b, "form").select("w", "candidate", "freq").distinct().withColumn("distance", F.levenshtein("w", "candidate", most)).where("distance >= 0")
     near = near.withColumn("least", F.min("distance").over(Window.partitionBy("w"))).where("distance = least").drop("least")

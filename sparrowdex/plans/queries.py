@@ -32,6 +32,15 @@ def spell_best(spark, d):
     return Q.best_corrections(spell_candidates(spark, d))
 
 
+def spell_candidates_all(spark, d):
+    """Candidates for every word outside the dictionary; `spell_candidates` is the slice that its SQL twin can check."""
+    return Q.spelling_candidates(_words(spark, d).select("w"), _dictionary(spark, d))
+
+
+def spell_best_all(spark, d):
+    return Q.best_corrections(spell_candidates_all(spark, d))
+
+
 def soundex_codes(spark, d):
     return _words(spark, d).select("w", Q.soundex("w").alias("code"))
 
@@ -128,4 +137,4 @@ WHEN regexp_matches(title, '~[0-9]+') THEN 'fuzzy' ELSE 'natural' END AS kind FR
     "sentence_pieces": SENT,
     "sentence_relevance": f"""SELECT doc_id, i, round(({HIT}) / {len(TERMS)}.0::DOUBLE * 0.7 + 0.3 * CASE WHEN {HIT} >= 2 THEN greatest(0, 1 - (greatest({', '.join(AT)}) - least({', '.join(f'nullif({a}, 0)' for a in AT)}))::DOUBLE / length(sentence)) ELSE 0 END, 6) AS relevance FROM ({SENT})""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr", "spell_candidates_all", "spell_best_all")}
