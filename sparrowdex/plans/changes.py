@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparrowdex.operators import drift as DR
 from sparrowdex.operators import index as I
 from sparrowdex.operators import learn as L
+from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
 from sparrowdex.streaming import changes as S
 
@@ -43,6 +44,32 @@ def drift_summary(spark, d):
     return _drift(spark, d).agg(F.count("*").alias("terms"), F.count_if("drifted").alias("drifted"), F.round(F.avg("magnitude"), 4).alias("mean"))
 
 
+def _tokens_30d(spark, d):
+    """Tokens by the operator's own windows of 30 days; the queries without _30d take 90, as their SQL twins do."""
+    return DR.drift_tokens(table(spark, d, "documents"), "doc_id", "text", "fetched_at")
+
+
+def drift_windows_30d(spark, d):
+    return _tokens_30d(spark, d).groupBy("win").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("w").alias("terms"), F.count("*").alias("tokens"))
+
+
+def cooccurrence_all(spark, d):
+    """All pairs, the rare ones too."""
+    return DR.cooccurrence(_tokens_30d(spark, d), "doc_id")
+
+
+def term_drift_30d(spark, d):
+    return DR.term_drift(DR.ppmi(through_table(cooccurrence_all(spark, d), "pairs")))
+
+
+def doc_drift_30d(spark, d):
+    return DR.document_drift(_tokens_30d(spark, d), term_drift_30d(spark, d), "doc_id").select("doc_id", F.round("drift", 9).alias("drift"))
+
+
+def drift_summary_30d(spark, d):
+    return term_drift_30d(spark, d).agg(F.count("*").alias("terms"), F.count_if("drifted").alias("drifted"), F.round(F.avg("magnitude"), 4).alias("mean"))
+
+
 def time_range_agg(spark, d):
     e = _events(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "value")
     return DR.range_aggregate(e, "ts", "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("n", F.round("total", 4).alias("total"))
@@ -153,4 +180,4 @@ ORACLES = {
     "ltr_pairs": "WITH o AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type AS winner, b.event_type AS loser, count(*) AS n FROM o a JOIN o b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase' GROUP BY ALL",
     "ltr_linear_score": "SELECT id, round(0.15 * coalesce(CASE WHEN isnan(page_rank) THEN 0 ELSE page_rank END, 0) + 0.02 * coalesce(length(content), 0), 6) AS score FROM docs",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "rate_limit_hits")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "rate_limit_hits", "drift_windows_30d", "cooccurrence_all", "term_drift_30d", "doc_drift_30d", "drift_summary_30d")}

@@ -44,3 +44,24 @@ def test_spelling_of_all_words(spark, tmp_path):
     assert {(r.w, r.candidate): (r.distance, r.phonetic) for r in got} == want
     best = {r.w: r.best for r in entry.queries()["spell_best_all"](spark, d).collect()}
     assert best["serch"] == "search" and best["cta"] == "cat" and best["informatoin"] == "information" and best["retreival"] == "retrieval"
+
+
+def test_drift_by_30_days(spark, tmp_path):
+    texts = ["apple fruit sweet juice apple fruit garden", "apple computer laptop software apple computer screen", "apple phone", None]
+    times = [datetime(2023, 12, 25), datetime(2024, 2, 12), datetime(2024, 2, 12), datetime(2024, 2, 12)]
+    d = folder(spark, tmp_path, documents=spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(zip(texts, times))], DOCUMENTS))
+    q = {k: f(spark, d) for k, f in entry.queries().items() if k in ("drift_windows", "drift_windows_30d", "cooccurrence_all", "term_drift_30d", "doc_drift_30d", "drift_summary_30d")}
+    want = {}
+    for x, t in zip(texts[:3], times):
+        win, ws = int((t - datetime(1970, 1, 1)).total_seconds() // (30 * 86400)), x.split()
+        for i, w in enumerate(ws):
+            for j, c in enumerate(ws):
+                if 1 <= abs(i - j) <= 5 and w != c:
+                    want[win, w, c] = want.get((win, w, c), 0) + 1
+    assert {(r.win, r.w, r.ctx): r.n for r in q["cooccurrence_all"].collect()} == want and min(want.values()) == 1
+    assert q["drift_windows"].count() == 1 and q["drift_windows_30d"].count() == len({k[0] for k in want}) == 2
+    terms = {r.w: r for r in q["term_drift_30d"].collect()}
+    assert terms["apple"].windows == 2 and terms["apple"].drifted and not terms["fruit"].drifted
+    assert {r.doc_id for r in q["doc_drift_30d"].collect() if r.drift > 0.35} == {0, 1, 2}
+    s = q["drift_summary_30d"].first()
+    assert (s.terms, s.drifted) == (len(terms), 1)
