@@ -120,6 +120,17 @@ def hybrid(sparse: DataFrame, dense: DataFrame, alpha: float = 0.3, key: str = "
     return both.select(key, (alpha * x + (1 - alpha) * y).alias("hybrid"))
 
 
+def hybrid_each(sparse: DataFrame, dense: DataFrame, alpha: float = 0.3, key: str = "doc_id") -> DataFrame:
+    """(query, key, hybrid): as `hybrid` for each query of the dense side (query, key, score), the sparse side being the same for all."""
+    tops = dense.groupBy("query").agg(F.max("score").alias("top"))
+    top_s = sparse.agg(F.max("score").alias("m")).scalar()
+    d, s = dense.select("query", key, F.col("score").alias("d")), sparse.select(key, F.col("score").alias("s")).crossJoin(tops.select("query"))
+    both = d.join(s, ["query", key], "full").join(tops, "query")
+    x = F.when(F.col("top") > 0, F.coalesce("d", F.lit(0.0)) / F.col("top")).otherwise(0.0)
+    y = F.coalesce("s", F.lit(0.0)) / F.greatest(F.lit(1.0), F.coalesce(top_s, F.lit(1.0)))
+    return both.select("query", key, (alpha * x + (1 - alpha) * y).alias("hybrid"))
+
+
 def blended(results: DataFrame, other: DataFrame, share: float = 0.7, score: str = "score", key: str = "doc_id") -> DataFrame:
     """Scores mixed with those of (key, other) where there is one: share * score + (1 - share) * other."""
     return results.join(other.select(key, F.col(other.columns[-1]).alias("__o")), key, "left").withColumn(

@@ -75,6 +75,36 @@ def _top_block(vectors: DataFrame, queries: list, k: int, key: str, column: str)
     return vectors.select(key, column).mapInArrow(run, f"query long, {key} long, score double")
 
 
+def similarities(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
+    """(query, key, score): the cosine of every vector with every query vector, itself included; 0 if one is 0 or null.
+
+    Queries are sent in blocks as in `top_similar`; nothing is shuffled. Vectors must have one length.
+    """
+    out, held = None, []
+    for r in queries.select(key, column).orderBy(key).toLocalIterator():
+        held.append((r[0], None if r[1] is None else list(r[1])))
+        if len(held) == block:
+            out, held = _union(out, _all_block(vectors, held, key, column)), []
+    return _union(out, _all_block(vectors, held, key, column)) if held or out is None else out
+
+
+def _all_block(vectors: DataFrame, queries: list, key: str, column: str) -> DataFrame:
+    ids = np.array([q for q, _ in queries], np.int64)
+    dim = next((len(v) for _, v in queries if v is not None), 0)
+    matrix = _normed(np.array([v or [0.0] * dim for _, v in queries], float).reshape(len(ids), dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, (1 << 20) // max(1, len(ids)))  # rows at once, for 2 ** 20 scores
+        for batch in batches:
+            for at in range(0, batch.num_rows, some):
+                b = batch.slice(at, some)
+                x = np.array([v or [0.0] * dim for v in b.column(1).to_pylist()], float) if dim else np.zeros((b.num_rows, 0))
+                own = np.tile(b.column(0).to_numpy(zero_copy_only=False), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, b.num_rows)), pa.array(own), pa.array((matrix @ _normed(x).T).ravel())], ["query", key, "score"])
+
+    return vectors.select(key, column).mapInArrow(run, f"query long, {key} long, score double")
+
+
 def fit_centroids(vectors: DataFrame, count: int, sample: int = 20000, rounds: int = 8, key: str = "vec_id", column: str = "embedding") -> np.ndarray:
     """Centroids of a bounded sample (the `sample` vectors of least hash) by spherical k-means; deterministic."""
     rows = vectors.where(F.col(column).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(column).collect()

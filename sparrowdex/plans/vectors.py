@@ -28,6 +28,11 @@ def cosine_pairs(spark, d):
     return v.withColumn("one", F.lit(1)).join(F.broadcast(q), "one").select("vec_id", F.round(V.cosine("embedding", "q"), 6).alias("cosine"))
 
 
+def cosine_pairs_all(spark, d):
+    """Cosines with every query vector; `cosine_pairs` has those with the first one, as its SQL twin."""
+    return V.similarities(_vectors(spark, d), _queries(spark, d)).select("query", "vec_id", F.round("score", 6).alias("cosine"))
+
+
 def ivf_topk(spark, d):
     return V.ivf_search(_vectors(spark, d), _queries(spark, d), 10)
 
@@ -45,9 +50,18 @@ def hybrid_blend(spark, d):
     return R.hybrid(sparse, dense).select("doc_id", F.round("hybrid", 6).alias("hybrid"))
 
 
+def hybrid_blend_all(spark, d):
+    """Blended scores for every query vector; `hybrid_blend` has those for the first one, as its SQL twin."""
+    dense = V.similarities(_vectors(spark, d), _queries(spark, d)).withColumnRenamed("vec_id", "doc_id")
+    sparse = R.bm25(terms(table(spark, d, "documents")), query_stems("slow search index")).select("doc_id", F.col("bm25").alias("score"))
+    return R.hybrid_each(sparse, dense).select("query", "doc_id", F.round("hybrid", 6).alias("hybrid"))
+
+
 def text_encode(spark, d):
-    per = terms(table(spark, d, "documents")).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
-    return V.encode_text(per, 256).select("doc_id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
+    """The vector of every document, the zero vector for those without a term."""
+    docs = table(spark, d, "documents")
+    per = terms(docs).groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    return V.encode_text(docs.select("doc_id").distinct().join(per, "doc_id", "left").select("doc_id", "terms"), 256).select("doc_id", F.transform("vector", lambda x: F.round(x, 5)).alias("vector"))
 
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -64,4 +78,4 @@ m AS (SELECT (SELECT max(d) FROM d) AS md, (SELECT max(bm) FROM raw) AS ms)
 SELECT doc_id, round(0.3 * CASE WHEN md > 0 THEN coalesce(d, 0) / md ELSE 0 END + 0.7 * coalesce(bm, 0) / greatest(1, coalesce(ms, 1)), 6) AS hybrid
 FROM (SELECT doc_id, d, bm FROM d FULL JOIN raw USING (doc_id)), m""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "ivf_topk", "text_encode")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "ivf_topk", "text_encode", "cosine_pairs_all", "hybrid_blend_all")}

@@ -65,3 +65,29 @@ def test_drift_by_30_days(spark, tmp_path):
     assert {r.doc_id for r in q["doc_drift_30d"].collect() if r.drift > 0.35} == {0, 1, 2}
     s = q["drift_summary_30d"].first()
     assert (s.terms, s.drifted) == (len(terms), 1)
+
+
+def test_all_query_vectors(spark, tmp_path):
+    vectors = [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (100, [0.0, 2.0]), (101, None), (200, None), (300, [0.0, 0.0])]
+    docs = [(1, "slow search", None), (2, "an index of apples", None), (7, "slow index", None), (8, None, None), (9, "", None), (10, "漢字", None)]
+    d = folder(spark, tmp_path, embeddings=spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), documents=spark.createDataFrame(docs, DOCUMENTS))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    want = {}
+    for q, a in vectors:
+        for v, b in vectors:
+            if q % 100 == 0:
+                n = (dot(a, a) * dot(b, b)) ** 0.5 if a and b else 0
+                want[q, v] = round(dot(a, b) / n, 6) if n else 0
+    rows = entry.queries()["cosine_pairs_all"](spark, d).collect()
+    assert len(rows) == len(want) and {(r.query, r.vec_id): r.cosine for r in rows} == pytest.approx(want)
+    first = {r.doc_id: r.hybrid for r in entry.queries()["hybrid_blend"](spark, d).collect()}
+    got = {(r.query, r.doc_id): r.hybrid for r in entry.queries()["hybrid_blend_all"](spark, d).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 0} == pytest.approx(first) and {k[0] for k in got} == {0, 100, 200, 300}
+    assert got[100, 100] == pytest.approx(0.3) and (100, 7) in got and (200, 7) in got
+    from sparrowdex.operators.vectors import similarities
+
+    v = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    blocks = similarities(v, v.where("vec_id % 100 = 0"), block=1).collect()
+    assert {(r.query, r.vec_id): round(r.score, 6) for r in blocks} == pytest.approx(want)
+    encoded = {r.doc_id: r.vector for r in entry.queries()["text_encode"](spark, d).collect()}
+    assert set(encoded) == {1, 2, 7, 8, 9, 10} and set(encoded[8]) == set(encoded[9]) == {0.0} and any(encoded[1])
