@@ -63,8 +63,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """Texts without lines that are in at least 5 different texts of their site."""
-    return sitelines.without_repeated_lines(table(spark, d, "docs"), 5, "clusters")
+    """Texts without lines that are in at least 5 different texts of their site, on at least 5 dates."""
+    return sitelines.without_repeated_lines(table(spark, d, "docs"), 5, "clusters", 5)
 
 
 def _page_texts(spark: SparkSession, d: str) -> DataFrame:

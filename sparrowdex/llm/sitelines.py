@@ -55,24 +55,25 @@ def line_counts(docs: DataFrame) -> DataFrame:
     return _counts(_records(docs))
 
 
-def repeated_lines(docs: DataFrame, least: int = 5, by: str = "records") -> DataFrame:
-    """(id, line_no, records, clusters, days) of each line that is in at least `least` of its site's `by`.
+def repeated_lines(docs: DataFrame, least: int = 5, by: str = "records", days: int = 0) -> DataFrame:
+    """(id, line_no, records, clusters, days) of each line that is in at least `least` of its site's `by`, on at least `days` dates.
 
-    by: 'records' counts ids, 'clusters' counts texts, so that copies of one article don't make boilerplate of it.
+    by: 'records' counts ids, 'clusters' counts texts, so that copies of one article don't make boilerplate of it; days
+    does so for articles that are republished on one date with small edits. Unknown dates count as one.
     Null and empty texts have no lines; blank lines are never in the result. Hot lines are spread by id.
     """
     now = _records(docs)
     lines = now.select("id", "site", F.posexplode(same_lines(F.col("content"))).alias("line_no", "line")).where("line <> ''")
     keyed = lines.select("id", "line_no", *_keyed(F.col("site"), F.col("line")))
-    return join_stats(keyed, _counts(now), ["h1", "h2"], "line_rows", "id", f"{by} >= {int(least)}").select("id", "line_no", "records", "clusters", "days")
+    return join_stats(keyed, _counts(now), ["h1", "h2"], "line_rows", "id", f"{by} >= {int(least)} AND days >= {int(days)}").select("id", "line_no", "records", "clusters", "days")
 
 
-def without_repeated_lines(docs: DataFrame, least: int = 5, by: str = "clusters") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least: int = 5, by: str = "clusters", days: int = 0) -> DataFrame:
     """(id, content, removed): each current record's text without its site's repeated lines, and how many went.
 
     Records without text keep their null or empty content, with 0 removed.
     """
-    bad = repeated_lines(docs, least, by).groupBy("id").agg(F.collect_list("line_no").alias("bad"))
+    bad = repeated_lines(docs, least, by, days).groupBy("id").agg(F.collect_list("line_no").alias("bad"))
     now = current_records(docs, ["content"]).join(bad, "id", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<int>")))
     kept = F.filter(F.transform(F.split("content", "\n", -1), lambda x, i: F.when(~F.array_contains("bad", i), x)), lambda x: x.isNotNull())
     return now.select("id", F.array_join(kept, "\n").alias("content"), F.size("bad").alias("removed"))

@@ -91,3 +91,13 @@ def test_all_query_vectors(spark, tmp_path):
     assert {(r.query, r.vec_id): round(r.score, 6) for r in blocks} == pytest.approx(want)
     encoded = {r.doc_id: r.vector for r in entry.queries()["text_encode"](spark, d).collect()}
     assert set(encoded) == {1, 2, 7, 8, 9, 10} and set(encoded[8]) == set(encoded[9]) == {0.0} and any(encoded[1])
+
+
+def test_lines_are_removed_by_dates_too(spark, tmp_path):
+    schema = "id long, url string, title string, content string, domain string, crawled_at timestamp, is_removed boolean"
+    rows = [(i, None, "t", f"the article of the day\nby author {'abcde'[i]}", "a.org", datetime(2025, 1, 2, i), False) for i in range(5)]
+    rows += [(10 + i, None, "t", f"follow us\ntext {'abcde'[i]}", "a.org", datetime(2025, 1, 1 + i), False) for i in range(5)]
+    d = folder(spark, tmp_path, docs=spark.createDataFrame(rows, schema))
+    got = {r.id: (r.content, r.removed) for r in entry.queries()["p4_cleaned"](spark, d).collect()}
+    assert all(got[r[0]] == ((r[3], 0) if r[0] < 10 else (r[3].split("\n")[1], 1)) for r in rows)
+    assert {(r.id, r.line_no) for r in entry.queries()["p4_found"](spark, d).collect()} == {(r[0], 0) for r in rows}
