@@ -78,8 +78,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Every current record with its class of equal shingle sets and that class's number of links."""
-    return neardup.linked_records(*neardup.similar_pairs(_page_texts(spark, d), 5, 0.8))
+    """Every current record with its class of equal shingle sets and that class's number of links; records of fewer than
+    five words, which have no set, are their own class."""
+    texts = _page_texts(spark, d)
+    found = neardup.linked_records(*neardup.similar_pairs(texts, 5, 0.8))
+    return texts.select("id").join(found, "id", "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _web_pages(spark: SparkSession, d: str) -> DataFrame:

@@ -73,6 +73,17 @@ def near_duplicates(fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFr
     return l.join(r, ["band", "value"]).where((F.col("a") < F.col("b")) & ~earlier).select("a", "b", d.alias("distance")).where(F.col("distance") <= most)
 
 
+def fingerprint_classes(docs: DataFrame, fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
+    """(key, class, links) of every document: the least id with its fingerprint, and how many other classes are at most `most` bits from it.
+
+    Different texts with one fingerprint have one class; `near_duplicates` has the links between classes. Documents without
+    a fingerprint are their own class, without links.
+    """
+    members = fp.join(fp.groupBy("fp").agg(F.min(key).alias("class")), "fp").select(key, "class")
+    degree = near_duplicates(fp, most, key).select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return docs.select(key).join(members.join(degree, "class", "left"), key, "left").select(key, F.coalesce("class", key).alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class): the least id with the same text. Null texts are no one's copies and have no row; empty ones are equal."""
     d = docs.where(F.col(text).isNotNull()).select(key, F.md5(F.col(text).cast("binary")).alias("h"), F.length(text).alias("n"))

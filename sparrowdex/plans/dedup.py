@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowdex.functions.text import simple_words_sql
 from sparrowdex.operators import dedup as D
+from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
 
 M, K = D.bloom_shape(2_000_000, 0.01)
@@ -27,6 +28,11 @@ def near_dups(spark, d):
     return D.near_duplicates(_fp(spark, d), 3)
 
 
+def near_dup_classes(spark, d):
+    """Every document with its class of equal fingerprints; `near_dups` links the classes."""
+    return D.fingerprint_classes(table(spark, d, "documents"), through_table(_fp(spark, d), "fingerprints"))
+
+
 def exact_dups(spark, d):
     return D.exact_duplicates(table(spark, d, "documents"))
 
@@ -70,4 +76,4 @@ SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER)
     "visited_anti": "SELECT entry_id, url FROM frontier WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM docs WHERE url IS NOT NULL)",
     "visited_maybe": "SELECT entry_id FROM frontier WHERE url IN (SELECT url FROM docs)",
 }
-QUERIES = {k: globals()[k] for k in ORACLES}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "near_dup_classes")}

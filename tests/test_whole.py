@@ -101,3 +101,30 @@ def test_lines_are_removed_by_dates_too(spark, tmp_path):
     got = {r.id: (r.content, r.removed) for r in entry.queries()["p4_cleaned"](spark, d).collect()}
     assert all(got[r[0]] == ((r[3], 0) if r[0] < 10 else (r[3].split("\n")[1], 1)) for r in rows)
     assert {(r.id, r.line_no) for r in entry.queries()["p4_found"](spark, d).collect()} == {(r[0], 0) for r in rows}
+
+
+def test_classes_of_near_duplicates(spark, tmp_path):
+    a = "the quick brown fox jumps over the lazy dog and runs through the big green field"
+    far = "something else entirely with other words in it"
+    docs = [(4, a, None), (5, a.upper() + "!", None), (6, a, None), (7, far, None), (8, "two words", None), (9, None, None)]
+    d = folder(spark, tmp_path, documents=spark.createDataFrame(docs, DOCUMENTS))
+    got = {r.doc_id: (r["class"], r.links) for r in entry.queries()["near_dup_classes"](spark, d).collect()}
+    assert got == {4: (4, 0), 5: (4, 0), 6: (4, 0), 7: (7, 0), 8: (8, 0), 9: (9, 0)}
+    from sparrowdex.operators.dedup import fingerprint_classes
+
+    fps = {1: 0, 2: 0, 3: 1, 4: -1, 5: 7, 6: 15}
+    df = spark.createDataFrame(list(fps.items()), "doc_id long, fp long")
+    first = {f: min(i for i in fps if fps[i] == f) for f in fps.values()}
+    want = {i: (first[f], sum(0 < bin((f ^ g) & (1 << 64) - 1).count("1") <= 3 for g in first)) for i, f in fps.items()}
+    rows = fingerprint_classes(df, df).collect()
+    assert len(rows) == 6 and {r.doc_id: (r["class"], r.links) for r in rows} == want
+
+
+def test_groups_have_every_current_record(spark, tmp_path):
+    schema = "id long, url string, title string, content string, domain string, crawled_at timestamp, is_removed boolean"
+    text = "the quick brown fox jumps over the lazy dog and runs through the big green field"
+    texts = [text, text, text + " again", "three words", "", None]
+    rows = [(i, None, None, x, "a.org", datetime(2025, 1, 1), False) for i, x in enumerate(texts)] + [(9, None, "t", text, "a.org", datetime(2025, 1, 1), True)]
+    d = folder(spark, tmp_path, docs=spark.createDataFrame(rows, schema))
+    got = entry.queries()["p5_groups"](spark, d).collect()
+    assert len(got) == 6 and {r.id: (r["class"], r.links) for r in got} == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
