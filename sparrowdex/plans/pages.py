@@ -122,9 +122,17 @@ def politeness_slots(spark, d):
     return C.politeness_slots(table(spark, d, "frontier"))
 
 
+def _links(spark, d):
+    return _pages(spark, d).where("outgoing_links IS NOT NULL AND url IS NOT NULL").select(F.col("url").alias("src"), F.explode("outgoing_links").alias("dst"))
+
+
 def pagerank(spark, d):
-    e = _pages(spark, d).where("outgoing_links IS NOT NULL AND url IS NOT NULL").select(F.col("url").alias("src"), F.explode("outgoing_links").alias("dst"))
-    return C.page_rank(e, 3).select("node", F.round("rank", 9).alias("rank"))
+    return C.page_rank(_links(spark, d), 3).select("node", F.round("rank", 9).alias("rank"))
+
+
+def pagerank_10(spark, d):
+    """Ranks after the operator's own number of rounds; `pagerank` has those after three, as its SQL twin."""
+    return C.page_rank(_links(spark, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
 NODES = ["node-a", "node-b", "node-c", "node-d"]
@@ -196,4 +204,4 @@ SELECT * FROM (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC
     "ring_lookup": f"{LOOKUP} SELECT * FROM owned",
     "ring_balance": f"{LOOKUP}, n AS (SELECT node, count(o_orderkey) AS n FROM (VALUES {', '.join(f'''('{n}')''' for n in NODES)}) v(node) LEFT JOIN owned USING (node) GROUP BY node) SELECT max(n) AS most, min(n) AS least, round(1 - stddev_pop(n) / avg(n), 6) AS balance FROM n",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_flags", "spam_model")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_flags", "spam_model", "pagerank_10")}

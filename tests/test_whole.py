@@ -128,3 +128,16 @@ def test_groups_have_every_current_record(spark, tmp_path):
     d = folder(spark, tmp_path, docs=spark.createDataFrame(rows, schema))
     got = entry.queries()["p5_groups"](spark, d).collect()
     assert len(got) == 6 and {r.id: (r["class"], r.links) for r in got} == {0: (0, 1), 1: (0, 1), 2: (2, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_rank_of_ten_rounds(spark, tmp_path):
+    schema = "id long, url string, title string, content string, domain string, crawled_at timestamp, is_removed boolean, page_rank double, outgoing_links array<string>"
+    links = {"a": ["b"], "b": ["c"], "c": ["d", "d"], "d": ["e"], "e": ["f", "e"], "f": ["a", "g"]}
+    d = folder(spark, tmp_path, docs=spark.createDataFrame([(i, u, None, None, None, datetime(2025, 1, 1), False, None, x) for i, (u, x) in enumerate(links.items())], schema))
+    edges = {(u, v) for u, x in links.items() for v in x if u != v}
+    ranks = {u: 1.0 for e in edges for u in e}
+    for _ in range(10):
+        ranks = {n: 0.15 + 0.85 * sum(ranks[u] / sum(x == u for x, _ in edges) for u, v in edges if v == n) for n in ranks}
+    got = {r.node: r["rank"] for r in entry.queries()["pagerank_10"](spark, d).collect()}
+    assert got == pytest.approx(ranks, abs=1e-8)
+    assert got != pytest.approx({r.node: r["rank"] for r in entry.queries()["pagerank"](spark, d).collect()}, abs=1e-3)
