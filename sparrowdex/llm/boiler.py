@@ -61,7 +61,7 @@ def page_nodes(title: str | None, content: str | None) -> list[tuple[int, int, i
     """
     lines = [(i, s) for i, x in enumerate((content or "").split("\n")) if (s := x.strip())]
     name = folded(title or "")
-    crumbs = {folded(TRAIL.split(s)[-1]) for _, s in lines[:40] if TRAIL.search(s)} - {""}
+    crumbs = {folded(TRAIL.split(s)[-1]) for _, s in lines if TRAIL.search(s)} - {""}
     marks = [_mark(s, name, crumbs, k == len(lines) - 1) for k, (_, s) in enumerate(lines)]
     out = []
     for k, ((i, s), m) in enumerate(zip(lines, marks)):

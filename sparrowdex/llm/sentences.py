@@ -296,18 +296,18 @@ def train(texts: list[str], abbreviations: frozenset[str] = frozenset(), rounds:
     return {k: total[k] / (n // 50) for k in w} if n >= 50 else dict(w)
 
 
-def learn_abbreviations(documents: DataFrame, least: int = 8, share: float = 0.7, most: int = 2000) -> frozenset[str]:
+def learn_abbreviations(documents: DataFrame, least: int = 8, share: float = 0.7) -> frozenset[str]:
     """Short words that stand before a full stop and go on with a small letter or a digit in most cases.
 
     Counted over all documents; a word of at most five letters that does so `least` times and in `share` of its cases is
-    an abbreviation. The model holds the `most` most frequent ones.
+    an abbreviation. The model holds all of them: their number is that of words, it doesn't grow with the documents.
     """
     after = F.regexp_extract_all("text", F.lit(r"(?<![^\s(])(\p{L}[\p{L}\p{M}.]{0,4}\.[ \x{a0}]+[\p{L}\p{N}])"), F.lit(1))
     rows = documents.where("text IS NOT NULL").select(F.explode(after).alias("s")).select(
         F.lower(F.regexp_extract("s", r"^(.*?)\.[ \x{a0}]+.$", 1)).alias("w"), F.col("s").rlike(r"[\p{Ll}\p{N}]$").cast("int").alias("on")
     )
     counts = rows.groupBy("w").agg(F.sum("on").alias("on"), F.count("*").alias("n")).where((F.col("on") >= least) & (F.col("on") >= share * F.col("n")))
-    return frozenset(r.w for r in counts.orderBy(F.desc("on"), "w").limit(most).collect())
+    return frozenset(r.w for r in counts.select("w").collect())
 
 
 def sentence_units(documents: DataFrame, sample: int = 2000) -> DataFrame:

@@ -141,3 +141,19 @@ def test_rank_of_ten_rounds(spark, tmp_path):
     got = {r.node: r["rank"] for r in entry.queries()["pagerank_10"](spark, d).collect()}
     assert got == pytest.approx(ranks, abs=1e-8)
     assert got != pytest.approx({r.node: r["rank"] for r in entry.queries()["pagerank"](spark, d).collect()}, abs=1e-3)
+
+
+def test_trails_behind_a_long_menu():
+    from sparrowdex.llm.boiler import page_nodes
+
+    menu = [f"entry {chr(97 + i % 26)}{chr(97 + i // 26)} of the menu:" for i in range(45)]
+    page = "\n".join([*menu, "Home > Trees > Old Alder", "Old Alder", "It grows by the river."])
+    assert 46 not in {n for n, *_ in page_nodes(None, page)}
+
+
+def test_all_abbreviations_are_kept(spark):
+    from sparrowdex.llm.sentences import learn_abbreviations
+
+    words = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijklmn" for c in "abcdefghijklmn"][:2500]
+    df = spark.createDataFrame([(" ".join(f"{w}. 1" for w in words[i : i + 500]),) for i in range(0, 2500, 500)] * 8, "text string")
+    assert learn_abbreviations(df) == frozenset(words)
