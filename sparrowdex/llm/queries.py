@@ -85,6 +85,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return texts.select("id").join(found, "id", "left").select("id", F.coalesce("class", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links between the classes of `p5_groups`: least ids of two sets and their similarity."""
+    links, _ = neardup.similar_pairs(_page_texts(spark, d), 5, 0.8)
+    return links.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 def _web_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = _pages(spark, d)
     cases = spam.list_pages(pages, table(spark, d, "page_labels")).where("spam").select("id")
@@ -133,7 +139,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p6_found, p6_main_text, p7_found, p7_weights, p8_ids, p9_found, p9_report, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_features, p2_found, p2_term_frequencies, p3_found, p3_audit, p4_found, p4_cleaned, p5_found, p5_groups, p5_links, p6_found, p6_main_text, p7_found, p7_weights, p8_ids, p9_found, p9_report, p10_found)}
 
 RESOLVED = r"""
 resolved AS (
@@ -166,7 +172,34 @@ arrivals AS (
     SELECT entry_id, split_part(trim(url, E' \\t\\r\\n'), '#', 1) AS u FROM frontier WHERE url IS NOT NULL
     UNION ALL SELECT -1, split_part(trim(url, E' \\t\\r\\n'), '#', 1) FROM docs WHERE url IS NOT NULL))"""
 
+NOW = """
+now AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST) AS k FROM docs)
+  WHERE k = 1 AND NOT coalesce(is_removed, false))"""
+
+
+def _alike(k: int, share: float) -> str:
+    """Records with their sets of sequences of k words, and how many of them two records have in common."""
+    run = " || ' ' || ".join(f"ws[i + {j}]" for j in range(k))
+    return f"""WITH {NOW},
+words AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM now),
+runs AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(ws) - {k - 2}), lambda i: {run})) AS x FROM words WHERE len(ws) >= {k}),
+sizes AS (SELECT id, count(*) AS n FROM runs GROUP BY id),
+alike AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS c, any_value(p.n) AS na, any_value(q.n) AS nb FROM runs a JOIN runs b ON a.x = b.x AND a.id < b.id
+  JOIN sizes p ON p.id = a.id JOIN sizes q ON q.id = b.id GROUP BY a.id, b.id HAVING count(*) >= {share} * (any_value(p.n) + any_value(q.n) - count(*)) - 1e-9)"""
+
+
+CLASSES = """
+classes AS (SELECT id, coalesce((SELECT min(a) FROM alike WHERE alike.b = now.id AND c = na AND c = nb), id) AS class FROM now),
+links AS (
+  SELECT DISTINCT least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, round(c / (na + nb - c), 6) AS similarity
+  FROM alike JOIN classes x ON x.id = a JOIN classes y ON y.id = b WHERE x.class <> y.class)"""
+
 ORACLES = {
+    "p5_found": _alike(3, 0.6) + " SELECT a AS id_a, b AS id_b FROM alike",
+    "p5_groups": f"{_alike(5, 0.8)}, {CLASSES} SELECT id, class, (SELECT count(*) FROM links WHERE a = class OR b = class) AS links FROM classes",
+    "p5_links": f"{_alike(5, 0.8)}, {CLASSES} SELECT * FROM links",
     "p2_found": FREQUENCIES + "SELECT term, mark FROM freq WHERE mark IS NOT NULL",
     "p2_term_frequencies": FREQUENCIES + "SELECT * FROM freq",
     "p3_found": f"WITH {ARRIVALS} SELECT entry_id FROM (SELECT entry_id, min(entry_id) OVER (PARTITION BY key) AS began FROM arrivals) WHERE entry_id > began",

@@ -73,7 +73,10 @@ def test_leaks(spark):
     assert any(r.distance == 1 for r in got)
 
 
-def test_near_duplicates_are_exact(spark):
+@pytest.mark.parametrize(("hot", "piece"), [(1 << 14, 1 << 20), (3, 50)])
+def test_near_duplicates_are_exact(spark, monkeypatch, hot, piece):
+    monkeypatch.setattr(neardup, "HOT", hot)  # tokens of more sets than that are split
+    monkeypatch.setattr(neardup, "PIECE", piece)
     rng = random.Random(4)
     base = [[f"w{rng.randrange(120)}" for _ in range(rng.randrange(3, 60))] for _ in range(60)]
     texts = []
