@@ -1,6 +1,7 @@
 """Encoding, leaks, sentences, near duplicates, site lines, spam and furniture on small cases and against brute force."""
 
 import base64
+import os
 import random
 import re
 from datetime import datetime
@@ -9,6 +10,7 @@ import pytest
 
 from sparrowdex.llm import boiler, encode, leaks, neardup, sentences, sitelines, spam
 
+CORPUS = "/root/testdata/sf0.1"
 DOC = "doc_id long, text string, ids string, words string"
 
 
@@ -171,8 +173,39 @@ def test_furniture(spark):
         ("  \n\t ", []), ("", []), (None, []),
     ],
 )
-def test_sentences(text, want):
-    assert [text[a:b] for a, b in sentences.units(text)] == want
+def test_sentences(tagger, text, want):
+    assert [text[a:b] for a, b in sentences.units(text, *tagger)] == want
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    if not os.path.isdir(CORPUS):
+        pytest.skip("no test tables")
+    return sentences.fit(spark.read.parquet(f"{CORPUS}/documents.parquet"))
+
+
+def test_the_tagger_is_trained(spark, tagger):
+    weights, lexicon = tagger
+    texts = [r.text for r in spark.read.parquet(f"{CORPUS}/documents.parquet").where("text IS NOT NULL").orderBy("doc_id").limit(2000).collect()]
+    lines = [x for t in texts for x in sentences.silver(t, lexicon)]
+    assert len(lines) > 1000 and sum(k is False for _, _, known in lines for k in known) > 500
+    assert sum(abs(v) > 0.5 for v in weights.values()) > 20 and sentences.train([]) == sentences.START
+    right = sum(k is None or k == g for line, cs, known in lines for k, g in zip(known, sentences._viterbi(line, cs, weights)))
+    assert right > 0.99 * sum(len(known) for _, _, known in lines)
+
+
+def test_unpunctuated_text_is_cut_too(tagger):
+    line = "为什么爬虫在月底比较照片管理员在旧港口附近统计目录地图保存了71个照片"
+    assert len(sentences.units(line, *tagger)) > 1
+    assert len(sentences.units("搜索与索引", *tagger)) == 1
+
+
+def test_lexicon(spark):
+    words = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijklmn" for c in "abcdefghijklmn"][:2500]
+    rows = [("\n".join([" ".join(f"{w}. Next" for w in words[i : i + 500]), *("It ended.\nAll was well." for _ in range(500))]),) for i in range(0, 2500, 500)] * 20
+    got = sentences.learn_lexicon(spark.createDataFrame(rows, "text string"))
+    assert set(got.kinds) == set(words) and got.ordinals == sentences.MONTHS and set(got.kinds.values()) == {"never"}
+    assert sentences.learn_lexicon(spark.createDataFrame([], "text string")) == sentences.NOTHING
 
 
 def test_sentence_units_cover_the_text(spark):
