@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparrowdex.llm.pagelines import ENDS, folded, function_share, words
-from sparrowdex.llm.spam import SENTENCE
 from sparrowdex.operators.skew import join_stats
 from sparrowdex.session import through_table
 

@@ -13,10 +13,10 @@ from sparrowdex.sources.tables import table
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Current records with what the page operators need, kept in the shared folder."""
-    now = current_records(table(spark, d, "docs"), ["title", "content", "outgoing_links", "content_type", "domain", "url"])
+    now = current_records(table(spark, d, "docs"), ["title", "content", "outgoing_links", "content_type", "domain", "url", "language"])
     links = F.when(F.col("outgoing_links").isNotNull(), F.size("outgoing_links")).otherwise(0)
     named = site(F.col("domain"), F.col("url"))
-    return through_table(now.select("id", "title", "content", links.alias("links"), boiler.is_web_page(F.col("content_type")).alias("web"), named.alias("site")), "pages")
+    return through_table(now.select("id", "title", "content", "language", links.alias("links"), boiler.is_web_page(F.col("content_type")).alias("web"), named.alias("site")), "pages")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

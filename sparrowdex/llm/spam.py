@@ -1,7 +1,9 @@
-"""Keyword-stuffed and link-list pages: regularity of recurrence, lists without function words, a fitted decision."""
+"""Keyword-stuffed and link-list pages: recurrence gaps and lag windows, lists without function words, a fitted decision."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,71 +11,112 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdex.llm.pagelines import FUNCTION_WORDS, folded, function_share, words
+from sparrowdex.llm.pagelines import folded, words
 from sparrowdex.session import through_table
 
-#: Share of function words below which a line is no sentence; text of a line that counts.
-SENTENCE, LEAST_CHARS, LEAST_WORDS = 0.16, 40, 6
-#: Lags of the autocorrelation and reach of a recurrence, in words.
-LAGS, REACH = 32, 40
-FEATURES = ("listed", "recurrent", "regular", "periodic", "distinct", "linked")
-#: What the decision is without labels: a page is a case if about half of its text isn't in sentences.
-PRIOR = np.array([-4.5, 9.0, 0.5, 0.5, 0.5, 0.0, 0.0])
+#: Words of a window; reach of a recurrence and largest lag of the autocorrelation, in words.
+WINDOW, REACH, LAGS = 48, 40, 32
+#: Share of a window's words, function words aside, that recur within REACH: from the first on it counts as repetition, in full from the second.
+REPEATED = (0.15, 0.35)
+#: Share of function words of a window: below the second it counts as a list, in full from the first down.
+LISTED = (0.15, 0.35)
+#: A function word is in more than this share of a language's pages; so short a word may be one in any language.
+SPREAD, SHORT = 0.5, 3
+FEATURES = ("repeated", "listed", "regular", "periodic", "distinct", "linked")
+#: What the decision is without labels: a page is a case if about half of its text is repetition or list.
+PRIOR = np.array([-4.5, 9.0, 9.0, 0.5, 0.5, 0.0, 0.0])
 #: At most this many labelled pages are used to fit the decision.
 SAMPLE = 4000
+TAG = re.compile("[a-z]{2}")
 
 
-def page_features(title: str | None, content: str | None, links: int) -> list[float]:
+def function_words(pages: DataFrame) -> frozenset[str]:
+    """Function words of the corpus: words that for certain (95 %) are in more than SPREAD of the pages of a language.
+
+    pages: (title, content, language). The language is the first two letters of that column, null and odd ones being one
+    more; it only groups the counts, which are of all pages. A language has at most the words of a page over SPREAD such
+    words, so few come to the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(g, w, n) for g, c in held.items() for w, n in c.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["tag", "w", "n"])
+
+        for batch in batches:
+            for content, language in zip(*(c.to_pylist() for c in batch.columns)):
+                found = TAG.match((language or "").strip().lower())
+                own = {w for line in (content or "").split("\n") for w in words(line)}
+                if own:
+                    held.setdefault(found[0] if found else "", Counter()).update([*own, ""])
+            if sum(map(len, held.values())) > 1 << 20:
+                yield flush()
+        yield flush()
+
+    counts = pages.select("content", "language").mapInArrow(count, "tag string, w string, n long").groupBy("tag", "w").agg(F.sum("n").alias("n"))
+    counts = through_table(counts, "spread")
+    sizes = counts.where("w = ''").select("tag", F.col("n").alias("size"))
+    sure = F.col("n") - 1.645 * F.sqrt(F.col("n") * (1 - F.col("n") / F.col("size")) + 1) > SPREAD * F.col("size")
+    return frozenset(r.w for r in counts.where("w <> ''").join(F.broadcast(sizes), "tag").where(sure).select("w").distinct().collect())
+
+
+def page_features(title: str | None, content: str | None, links: int, known: frozenset[str] = frozenset()) -> list[float]:
     """The six features of a page, each from 0 to 1; zeros for a null or empty text.
 
-    listed: share of the text in lines without function words (lines of a few words, the furniture of a page, and the
-    title are left out). recurrent: share of words, function words aside, that recur within REACH words. regular: how
-    even the gaps between recurrences of a term are, over terms with four or more (1 / (1 + variation)). periodic: the
-    largest autocorrelation of the sequence of words over lags up to LAGS. distinct: share of different words among the
-    words of listed lines. linked: links a word.
+    All lines count but the title, of any length, addresses as text of the words beside them. The words are taken in windows
+    of about WINDOW. repeated: share of the
+    text in windows whose words, function words aside, recur within REACH. listed: share in other windows, as far as they lack
+    function words (`known` ones and words of up to SHORT letters). regular: how even the gaps between recurrences of a term
+    are, over terms with four or more (1 / (1 + variation)), by their share of the text. periodic: the largest autocorrelation
+    of the sequence of words over lags up to LAGS, function words aside. distinct: share of different words among those of
+    listed windows. linked: links a word.
     """
-    name, good, listed, sequence, held = folded(title or ""), 0, 0, [], []
+    name, sequence, weight = folded(title or ""), [], []
     for line in (content or "").split("\n"):
-        line = line.strip()
-        if len(line) < 12:
-            continue
-        ws = words(line)
-        if len(ws) < LEAST_WORDS and len(line) < LEAST_CHARS or folded(line) == name:
-            continue
-        sequence += ws
-        if function_share(ws) >= SENTENCE:
-            good += len(line)
-        else:
-            listed += len(line)
-            held += ws
+        if line and folded(line) != name and (own := words(line)):
+            sequence += own
+            weight += [len(line.strip()) / len(own)] * len(own)
     n = len(sequence)
     if not n:
         return [0.0] * 6
     codes: dict[str, int] = {}
     seq = np.fromiter((codes.setdefault(w, len(codes)) for w in sequence), np.int64, n)
-    stop = np.fromiter(map(FUNCTION_WORDS.__contains__, codes), bool, len(codes))
+    stop = np.fromiter((w in known or len(w) <= SHORT and w.isalpha() for w in codes), bool, len(codes))[seq]
     order = np.argsort(seq, kind="stable")
     same = np.r_[False, seq[order][1:] == seq[order][:-1]]
     gaps = np.r_[0, np.diff(order)]
-    use = same & ~stop[seq[order]]
-    recurrent = (use & (gaps <= REACH)).sum() / n
+    back = np.zeros(n, np.int64)
+    back[order[same]] = gaps[same]
+    near = (back > 0) & (back <= REACH) & ~stop
+    cuts = np.linspace(0, n, max(1, round(n / WINDOW)) + 1).astype(int)
+    total = lambda x: np.add.reduceat(x.astype(float), cuts[:-1])
+    size, own, text = np.diff(cuts), total(~stop), total(np.array(weight))
+    share = lambda x, a, b: np.clip((x - a) / (b - a), 0, 1)
+    repeated = share(total(near) / np.maximum(1, own), *REPEATED)
+    listed = (1 - repeated) * (1 - share(1 - own / size, *LISTED))
+    use = same & ~stop[order]
     c, g = seq[order][use], gaps[use].astype(float)
     count = np.bincount(c, minlength=len(codes))
     many = count >= 3
     mean = np.bincount(c, g, len(codes))[many] / count[many]
     var = np.maximum(np.bincount(c, g * g, len(codes))[many] / count[many] - mean**2, 0)
-    regular = float((1 / (1 + np.sqrt(var) / mean)).mean()) if many.any() else 0.0
-    periodic = max(((seq[k:] == seq[:-k]).mean() for k in range(1, min(LAGS, n - 1) + 1)), default=0.0)
-    return [listed / (good + listed), float(recurrent), regular, float(periodic), len(set(held)) / len(held) if held else 0.0, min(1.0, links / n)]
+    regular = float((count[many] / (1 + np.sqrt(var) / mean)).sum() / n)
+    alone = np.where(stop, -1 - np.arange(n), seq)
+    periodic = max((float((alone[k:] == alone[:-k]).mean()) for k in range(1, min(LAGS, n - 1) + 1)), default=0.0)
+    held = seq[np.repeat(listed > 0.5, size) & ~stop]
+    return [float((repeated * text).sum() / text.sum()), float((listed * text).sum() / text.sum()), regular, periodic, len(np.unique(held)) / len(held) if len(held) else 0.0, min(1.0, links / n)]
 
 
-def feature_table(pages: DataFrame) -> DataFrame:
+def feature_table(pages: DataFrame, known: frozenset[str]) -> DataFrame:
     """(id, f array<double>) of pages (id, title, content, links), in one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, titles, contents, links = (c.to_pylist() for c in batch.columns)
-            f = [page_features(t, c, n or 0) for t, c, n in zip(titles, contents, links)]
+            f = [page_features(t, c, n or 0, known) for t, c, n in zip(titles, contents, links)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(f, pa.list_(pa.float64()))], ["id", "f"])
 
     return pages.select("id", "title", "content", "links").mapInArrow(run, "id long, f array<double>")
@@ -109,10 +152,10 @@ def is_case(features: Column, w: np.ndarray) -> Column:
 
 
 def list_pages(pages: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(id, f, spam) of pages (id, title, content, links): which serve keywords, links or tags in place of sentences.
+    """(id, f, spam) of pages (id, title, content, links, language): which serve keywords, links or tags in place of sentences.
 
     The features are computed once and kept in the shared folder, as the fit and the decision both read them. A page
     without text isn't spam; repeated ids have a row each.
     """
-    f = through_table(feature_table(pages), "page-features")
+    f = through_table(feature_table(pages, function_words(pages)), "page-features")
     return f.withColumn("spam", is_case(F.col("f"), fitted(f, labels, sample)))

@@ -128,20 +128,51 @@ def test_copies_are_one_cluster(spark):
 PROSE = "The old mill stands by the river. It was built for the town in the last century, and it still grinds flour for us."
 
 
+KNOWN = frozenset("the by it was for in and for us is".split())
+POLISH = "Stary młyn stoi nad rzeką. Zbudowano go dla miasta w zeszłym wieku i nadal miele mąkę dla nas. W każdą sobotę piekarz z sąsiedniej wsi przyjeżdża po worki, a jego syn pomaga mu je ładować na wóz. Kiedy spadnie deszcz, woda w rzece wzbiera i koło kręci się szybciej niż zwykle."
+RUSSIAN = "Старая мельница стоит у реки. Её построили для города в прошлом веке, и она всё ещё мелет муку для нас. Каждую субботу пекарь из соседней деревни приезжает за мешками, а его сын помогает ему грузить их на телегу. Когда идёт дождь, вода в реке поднимается и колесо вертится быстрее."
+
+
+def _spam(f):
+    return spam.PRIOR[0] + sum(w * x for w, x in zip(spam.PRIOR[1:], f)) > 0
+
+
 def test_spam_features():
-    words = ["buy", "shoes", "cheap", "sale", "boots", "online"]
-    stuffed = "\n".join(" ".join(random.Random(i).choice(words) for _ in range(30)) for i in range(5))
-    listed = spam.page_features("t", stuffed, 3)
-    assert listed[0] == 1 and listed[1] > 0.8 and spam.page_features("t", PROSE, 3)[0] == 0
+    names = dict(zip(spam.FEATURES, range(6)))
+    terms = ["buy", "shoes", "cheap", "sale", "boots", "online"]
+    stuffed = spam.page_features("t", "\n".join(" ".join(random.Random(i).choice(terms) for _ in range(30)) for i in range(5)), 3, KNOWN)
+    assert stuffed[names["repeated"]] > 0.9 and stuffed[names["periodic"]] > 0.1 and _spam(stuffed)
+    assert not _spam([0.0 if n in ("repeated", "regular", "periodic") else x for n, x in zip(spam.FEATURES, stuffed)])  # what the lags say decides
+    regular = spam.page_features("t", " ".join(f"{w} item{i}" for i in range(40) for w in terms), 0, KNOWN)
+    assert regular[names["regular"]] > 0.45
+    assert not _spam(spam.page_features("t", PROSE, 3, KNOWN))
     assert spam.page_features(None, None, 0) == [0.0] * 6 == spam.page_features("t", "", 9)
-    explained = "\n".join(f"https://x.org/{i} – {PROSE}" for i in range(5))
-    assert spam.page_features("t", explained, 5)[0] == 0
+    explained = "\n".join(f"https://x.org/{i} – {p}" for i, p in enumerate([PROSE, POLISH, RUSSIAN]))
+    assert not _spam(spam.page_features("t", explained, 5, KNOWN))
+
+
+def test_short_links_are_a_list():
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    for n in (2, 4):
+        assert _spam(spam.page_features("t", "\n".join(" ".join(name() for _ in range(n)) for _ in range(200)), 200, KNOWN))
+
+
+@pytest.mark.parametrize("text", [POLISH, RUSSIAN])
+def test_prose_of_an_unknown_language_is_no_list(text):
+    assert not _spam(spam.page_features("t", text, 2, KNOWN))
+
+
+def test_function_words(spark):
+    pages = [(i, "t", f"the mill {i} of the town" if i % 3 else f"der Ort {i}", "EN-us" if i % 3 else " de") for i in range(90)] + [(100, None, None, None), (101, "t", "rare odd page", "")]
+    got = spam.function_words(spark.createDataFrame(pages, "id long, title string, content string, language string"))
+    assert got == {"the", "mill", "of", "town", "der", "ort"}
 
 
 def test_spam_decision(spark):
-    pages = [(i, "t", PROSE if i % 2 else "cheap shoes sale boots online shop " * 9, 2, "x") for i in range(40)] + [(99, None, None, None, "x")]
+    pages = [(i, "t", PROSE if i % 2 else "cheap shoes sale boots online shop " * 9, 2, "en") for i in range(40)] + [(99, None, None, None, "x")]
     labels = [(i, "ok" if i % 2 else "spam", "r") for i in range(30)] + [(1, "spam", "r"), (31, None, "r"), (32, "odd", "r")]
-    got = spam.list_pages(spark.createDataFrame(pages, "id long, title string, content string, links int, f string").drop("f"), spark.createDataFrame(labels, "id long, verdict string, rater string"))
+    got = spam.list_pages(spark.createDataFrame(pages, "id long, title string, content string, links int, language string"), spark.createDataFrame(labels, "id long, verdict string, rater string"))
     assert {r.id for r in got.where("spam").collect()} == set(range(0, 40, 2))
 
 
