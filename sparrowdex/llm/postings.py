@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,20 +55,31 @@ def term_frequencies(index: DataFrame, rare: int = 2, common: float = 0.2) -> Da
     return terms.withColumn("mark", mark)
 
 
-def log_entropy(resolved: DataFrame, min_records: int = 1, max_records: int | None = None, min_tf: int = 1) -> DataFrame:
-    """(term, doc_id, tf, records, weight): how much each term tells its record from the others.
+def log_entropy(resolved: DataFrame, min_local: float = 0.0, entropies: tuple[float, float] | None = None) -> DataFrame:
+    """(term, doc_id, tf, records, entropy, weight): how much each term tells its record from the others.
 
     weight = ln(1 + tf) * (1 - H / ln N): H is the entropy of the term's occurrences over records, N the number of
-    records. Two aggregates (per term, over all) and one join give it. With N = 1 the second factor is 1. The bounds
-    keep terms in min_records..max_records records and postings with tf >= min_tf; they are applied before the join,
-    as bounds on the two factors: ln(1 + tf) >= ln(1 + min_tf), and H <= ln(max_records) for such a term.
+    records. Two aggregates (per term, over all) and one join give it. With N = 1 the second factor is 1. Bounds on the two
+    factors are applied before the join: local weights ln(1 + tf) of at least min_local, and entropies within
+    `entropies`, both ends included (to 1e-9).
     """
     n = resolved.groupBy("doc_id").agg(F.lit(1).alias("one")).agg(F.greatest(F.count("one"), F.lit(1)).alias("n")).scalar()
     x = F.col("tf").cast("double")
     spread = resolved.groupBy("term").agg(F.count("*").alias("records"), F.sum(x).alias("t"), F.sum(x * F.ln(x)).alias("s"))
     h = F.ln("t") - F.col("s") / F.col("t")
     stats = spread.select("term", "records", h.alias("entropy"), F.when(n > 1, 1 - h / F.ln(n)).otherwise(F.lit(1.0)).alias("distinct"))
-    keep = f"records >= {int(min_records)}" + (f" AND entropy <= ln({int(max_records)}D) + 1e-9 AND records <= {int(max_records)}" if max_records else "")
-    local = resolved.where(F.ln(1 + x) >= F.ln(F.lit(1.0 + min_tf)) - 1e-12).where(F.col("tf") >= min_tf)
+    keep = f"entropy BETWEEN {entropies[0] - 1e-9!r}D AND {entropies[1] + 1e-9!r}D" if entropies else None
+    local = resolved.where(F.ln(1 + x) >= min_local - 1e-12) if min_local else resolved
     joined = join_stats(local.select("term", "doc_id", "tf"), stats, ["term"], "records", "doc_id", keep)
-    return joined.select("term", "doc_id", "tf", "records", (F.ln(1 + F.col("tf")) * F.col("distinct")).alias("weight"))
+    return joined.select("term", "doc_id", "tf", "records", "entropy", (F.ln(1 + F.col("tf")) * F.col("distinct")).alias("weight"))
+
+
+def heavy_terms(resolved: DataFrame, min_tf: int = 5, min_records: int = 2, max_records: int = 25) -> DataFrame:
+    """(term, doc_id, tf, records, weight): terms heavy in a record and shared by few others.
+
+    The factors of the log-entropy weight decide: a local weight of at least that of min_tf, and an entropy of at most that of
+    a term spread evenly over max_records, above which it must be in more records. An uneven term can be in more records all
+    the same, and one in min_records or more has some entropy; so the number of records is checked exactly afterwards.
+    """
+    found = log_entropy(resolved, math.log(1 + min_tf), (0.0, math.log(max_records)))
+    return found.where(F.col("records").between(min_records, max_records)).drop("entropy")

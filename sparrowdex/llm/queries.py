@@ -109,7 +109,7 @@ def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Terms heavy in a record and shared by only a few others."""
-    return postings.log_entropy(postings.resolved_postings(table(spark, d, "postings")), 2, 25, 5).select("doc_id", "term")
+    return postings.heavy_terms(postings.resolved_postings(table(spark, d, "postings")), 5, 2, 25).select("doc_id", "term")
 
 
 def p7_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -52,7 +52,8 @@ def test_log_entropy(spark):
 
 def test_hot_term_and_bounds(spark):
     rows = [("hot", d, 5, T[0], "x") for d in range(3000)] + [("cold", d, 5, T[0], "x") for d in range(3)]
-    r = P.log_entropy(resolved(spark, rows), 2, 25, 5)
+    rows += [("uneven", d, 900 if d == 7 else 1, T[0], "x") for d in range(60)] + [("light", d, 4, T[0], "x") for d in range(3)]
+    r = P.heavy_terms(resolved(spark, rows), 5, 2, 25)
     assert sorted((x.term, x.doc_id) for x in r.collect()) == [("cold", 0), ("cold", 1), ("cold", 2)]
     assert P.log_entropy(resolved(spark, rows)).where(F.col("term") == "hot").count() == 3000
 
