@@ -190,6 +190,17 @@ def test_furniture(spark):
     assert all(not got[i] & {2, 7} for i in range(12)) and not set(got) & {50, 51}
 
 
+def test_a_long_notice_is_furniture(spark):
+    notice = "This site keeps small files on your device, so that it can remember what you chose, count its visitors and show you what you may like. By reading on you agree to that and to the terms of use, which you find in the footer of all pages."
+    rng = random.Random(4)
+    prose = lambda: " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(2)) for _ in range(40)).capitalize() + "."
+    rows = [(10 * s + i, f"s{s}.org", f"Title {s} {i}", f"{notice}\nTitle {s} {i}\n{prose()} {prose()}\n{prose()}") for s in range(2) for i in range(6)]
+    shared = f"{prose()} {prose()}"  # a paragraph that two of six pages share is text
+    rows = [(i, s, t, f"{c}\n{shared}" if i in (3, 4) else c) for i, s, t, c in rows]
+    got = {(r.id, r.line_no) for r in boiler.furniture_lines(spark.createDataFrame(rows, "id long, site string, title string, content string")).collect()}
+    assert len(notice) > 199 and got == {(r[0], 0) for r in rows}
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
