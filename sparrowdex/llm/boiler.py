@@ -29,16 +29,17 @@ LEAST_PAGES, LEAST_SITES, LEAST_TEXT = 3, 3, 4
 LAST = 3
 
 SEPARATED = re.compile(r"\s+[|/>»›·•*]\s+|\s*[|»›]\s*|\s{2,}|\t+")
+PARTED = re.compile(r"[|/>»›·•*\t]|  ")
 TRAILS = re.compile(r"\s+[>»›/|]\s+")
 LISTED = re.compile(r"(?:[-*–]|\d{1,3}[.)])\s+\S")
 COUNTED = re.compile(r"[^,]*[^\W\d_] \d+(?:, [^,]*[^\W\d_] \d+)+[.]?$")
-LINKED = re.compile(r"(?:→|»|›|>)\s|•.*\(\d+ [^\W\d_]+\)$|.*…$")
+LINKED = re.compile(r"(?:→|»|›|>)\s|•.*\(\d+ [^\W\d_]+\)$")
 PLACED = re.compile(r"\[[^\]]*\]\(|https?://|#\w")
 SIGN_OFF = re.compile(r"(.*[.!?…]['\"”’»)]*)\s+[^\W\d_]+$")
 INNER = re.compile(r"(?:(?<!\d)\.|[!?。！？])['\"”’»)]*\s+[^\sa-zß-ÿ]")
 NAMES = re.compile(r"\b[^\W\d_a-zß-ÿ][^\W\d_]*")
 DIGITS = re.compile(r"\d+")
-WORDS = re.compile(r"[^\W\d_]{2,}")
+TWO_WORDS = re.compile(r"[^\W\d_]{2,}(?![^\W\d_]).*?[^\W\d_]{2,}")
 
 
 def template(line: str) -> str:
@@ -46,7 +47,7 @@ def template(line: str) -> str:
     line = DIGITS.sub("#", " ".join(line.split()))
     if not line.isupper():
         masked = NAMES.sub("@", line)
-        if len(WORDS.findall(masked)) >= 2:
+        if TWO_WORDS.search(masked):
             return masked
     return line.casefold()
 
@@ -67,7 +68,7 @@ FORMS = _Forms()
 def _form(s: str) -> int:
     if LISTED.match(s) or s[-1:].isdigit() and COUNTED.match(s) or s[-2:-1].isdigit() and COUNTED.match(s):
         return ITEM
-    if any(c in s for c in "|/>»›·•*\t") or "  " in s:
+    if PARTED.search(s):
         parts = [p for p in SEPARATED.split(s) if p]
         if len(parts) >= 3 and all(len(p.split()) <= 3 for p in parts) and not ENDS.search(s):
             return MENU
@@ -75,7 +76,7 @@ def _form(s: str) -> int:
     else:
         single = True
     inner = INNER.search(s)
-    if LINKED.match(s):
+    if s.endswith("…") or LINKED.match(s):
         return SENTENCE if inner else LINK
     if "©" in s[:3]:
         return RIGHTS
@@ -95,16 +96,17 @@ def page_nodes(title: str | None, content: str | None) -> list[tuple[int, int, i
     lines = [(i, s) for i, x in enumerate((content or "").split("\n")) if (s := x.strip())]
     name = folded(title or "")
     own = set(words(name))
-    crumbs = {folded(TRAILS.split(s)[-1]) for _, s in lines if any(c in s for c in ">»›/|") and TRAILS.search(s)} - {""}
+    crumbs = {folded(TRAILS.split(s)[-1]) for _, s in lines if PARTED.search(s) and TRAILS.search(s)} - {""}
+    least, most, whole = 0.7 * len(own), 2 * len(own), max(len(name), *map(len, crumbs), 0) + 40  # no longer line without double blanks is the title
     out = []
     for k, (i, s) in enumerate(lines):
         form, node = FORMS[s]
-        f = folded(s) if len(s) < 2 * len(name) + 80 or crumbs else ""
+        f = folded(s) if len(s) < whole or PARTED.search(s) else ""
         if name and f and (f == name or f.startswith(name) and len(f) - len(name) < 30 and f[len(name) :].lstrip()[:1] in tuple("–-|·:")):
             form = TITLE
         elif name and f.endswith(name) and TRAILS.search(s):
             form = TRAIL
-        elif f in crumbs or len(own) >= 4 and 0.7 * len(own) <= s.count(" ") + 1 <= 2 * len(own) and _alike(s, own):
+        elif f in crumbs or len(own) >= 4 and least <= s.count(" ") + 1 <= most and _alike(s, own):
             form = TITLE
         elif form in (TEXT, OTHER) and k == len(lines) - 1 and (base := SIGN_OFF.match(s)):
             form = TEXT if INNER.search(base[1]) else SENTENCE
@@ -132,7 +134,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
     """(id, site, line_no, node, form, first, last): the leaves of the trees of all pages (id, site, title, content).
 
     node stands for the line's template, form for its presentation. `first` is 1 for a template's first line on its page, so
-    that sums count pages, `last` for the LAST lines of a page. Pages of the site null have nodes too.
+    that sums count pages, `last` for the LAST lines of a page. site is 64 bits of its name; pages of the site null have nodes too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,18 +143,24 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             cols: list[list] = [[] for _ in range(7)]
             for i, h, t, c in zip(ids, sites, titles, contents):
                 lines, seen = page_nodes(t, c), set()
-                for k, (n, node, form) in enumerate(lines):
-                    for col, v in zip(cols, (i, h, n, node, form, int(node not in seen), int(k >= len(lines) - LAST))):
-                        col.append(v)
-                    seen.add(node)
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                if lines:
+                    numbers, hashes, forms = zip(*lines)
+                    n = len(lines)
+                    firsts = [0 if x in seen or seen.add(x) else 1 for x in hashes]
+                    for col, v in zip(cols, ([i] * n, [h] * n, numbers, hashes, forms, firsts, [0] * (n - LAST) + [1] * min(n, LAST))):
+                        col.extend(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "site", "line_no", "node", "form", "first", "last"])
 
-    return pages.select("id", F.coalesce("site", F.lit("")).alias("site"), "title", "content").mapInArrow(
-        run, "id long, site string, line_no int, node long, form int, first int, last int"
+    return pages.select("id", _site_key(), "title", "content").mapInArrow(
+        run, "id long, site long, line_no int, node long, form int, first int, last int"
     )
 
 
+def _site_key() -> Column:
+    return F.xxhash64(F.coalesce("site", F.lit(""))).alias("site")
+
+
 def node_importance(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """(site, node, rows, bits, pages, sites, all_pages, all_rows, wide_bits, heads, noticed) of every content node.
 
@@ -161,7 +169,7 @@ def node_importance(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     share of the node's lines, over all sites, that stand at a heading's place, noticed the share that a site's tree finds to
     be furniture or that stand at the end of a page. Each level is kept in the shared folder, as it is read more than once.
     """
-    sizes = pages.groupBy(F.coalesce("site", F.lit("")).alias("site")).agg(F.count("*").alias("size"))
+    sizes = pages.groupBy(_site_key()).agg(F.count("*").alias("size"))
     head = (F.col("form") == HEAD).cast("int")
     own = nodes.groupBy("site", "node").agg(F.sum("first").alias("pages"), F.count("*").alias("rows"), F.sum(head).alias("heads"), F.sum("last").alias("last")).join(sizes, "site")
     own = through_table(own.withColumn("bits", -F.log2(F.col("pages") / F.col("size"))), "site-nodes")

@@ -49,7 +49,7 @@ def function_words(pages: DataFrame) -> frozenset[str]:
         for batch in batches:
             for content, language in zip(*(c.to_pylist() for c in batch.columns)):
                 found = TAG.match((language or "").strip().lower())
-                own = {w for line in (content or "").split("\n") for w in words(line)}
+                own = set(words(content or ""))
                 if own:
                     held.setdefault(found[0] if found else "", Counter()).update([*own, ""])
             if sum(map(len, held.values())) > 1 << 20:
@@ -75,39 +75,46 @@ def page_features(title: str | None, content: str | None, links: int, known: fro
     listed windows. linked: links a word.
     """
     name, sequence, weight = folded(title or ""), [], []
+    most = 2 * len(title or "") + 100
     for line in (content or "").split("\n"):
-        if line and folded(line) != name and (own := words(line)):
+        if line and (len(line) > most or folded(line) != name) and (own := words(line)):
             sequence += own
-            weight += [len(line.strip()) / len(own)] * len(own)
+            weight += [len(line) / len(own)] * len(own)
     n = len(sequence)
     if not n:
         return [0.0] * 6
     codes: dict[str, int] = {}
-    seq = np.fromiter((codes.setdefault(w, len(codes)) for w in sequence), np.int64, n)
-    stop = np.fromiter((w in known or len(w) <= SHORT and w.isalpha() for w in codes), bool, len(codes))[seq]
+    seq = np.fromiter([codes.setdefault(w, len(codes)) for w in sequence], np.int64, n)
+    stop = np.fromiter([w in known or len(w) <= SHORT and w.isalpha() for w in codes], bool, len(codes))[seq]
     order = np.argsort(seq, kind="stable")
-    same = np.r_[False, seq[order][1:] == seq[order][:-1]]
-    gaps = np.r_[0, np.diff(order)]
-    back = np.zeros(n, np.int64)
-    back[order[same]] = gaps[same]
-    near = (back > 0) & (back <= REACH) & ~stop
-    cuts = np.linspace(0, n, max(1, round(n / WINDOW)) + 1).astype(int)
-    total = lambda x: np.add.reduceat(x.astype(float), cuts[:-1])
-    size, own, text = np.diff(cuts), total(~stop), total(np.array(weight))
-    share = lambda x, a, b: np.clip((x - a) / (b - a), 0, 1)
-    repeated = share(total(near) / np.maximum(1, own), *REPEATED)
-    listed = (1 - repeated) * (1 - share(1 - own / size, *LISTED))
-    use = same & ~stop[order]
-    c, g = seq[order][use], gaps[use].astype(float)
-    count = np.bincount(c, minlength=len(codes))
+    sorted_ = seq[order]
+    again = np.flatnonzero(sorted_[1:] == sorted_[:-1]) + 1  # places in order of a word that was there before
+    at, gap = order[again], order[again] - order[again - 1]
+    plain = ~stop[at]
+    at, gap, term = at[plain], gap[plain], sorted_[again[plain]]
+    k = max(1, round(n / WINDOW))
+    cuts = np.arange(k + 1) * n // k
+    window = np.searchsorted(cuts, np.arange(n), "right") - 1
+    size, own, text = np.diff(cuts), np.bincount(window, ~stop, k), np.bincount(window, weight, k)
+    repeated = _share(np.bincount(window[at[gap <= REACH]], minlength=k) / np.maximum(1, own), *REPEATED)
+    listed = (1 - repeated) * (1 - _share(1 - own / size, *LISTED))
+    whole = text.sum()
+    count = np.bincount(term, minlength=len(codes))
     many = count >= 3
-    mean = np.bincount(c, g, len(codes))[many] / count[many]
-    var = np.maximum(np.bincount(c, g * g, len(codes))[many] / count[many] - mean**2, 0)
-    regular = float((count[many] / (1 + np.sqrt(var) / mean)).sum() / n)
-    alone = np.where(stop, -1 - np.arange(n), seq)
-    periodic = max((float((alone[k:] == alone[:-k]).mean()) for k in range(1, min(LAGS, n - 1) + 1)), default=0.0)
-    held = seq[np.repeat(listed > 0.5, size) & ~stop]
-    return [float((repeated * text).sum() / text.sum()), float((listed * text).sum() / text.sum()), regular, periodic, len(np.unique(held)) / len(held) if len(held) else 0.0, min(1.0, links / n)]
+    regular = 0.0
+    if many.any():
+        gap = gap.astype(float)
+        mean = np.bincount(term, gap, len(codes))[many] / count[many]
+        var = np.maximum(np.bincount(term, gap * gap, len(codes))[many] / count[many] - mean**2, 0)
+        regular = float((count[many] / (1 + np.sqrt(var) / mean)).sum() / n)
+    seq[stop] = -1 - np.flatnonzero(stop)
+    periodic = max([np.count_nonzero(seq[k:] == seq[:-k]) / (n - k) for k in range(1, min(LAGS, n - 1) + 1)], default=0.0)
+    held = seq[(listed > 0.5)[window] & ~stop].tolist()
+    return [float((repeated * text).sum() / whole), float((listed * text).sum() / whole), regular, periodic, len(set(held)) / len(held) if held else 0.0, min(1.0, links / n)]
+
+
+def _share(x: np.ndarray, a: float, b: float) -> np.ndarray:
+    return np.minimum(1, np.maximum(0, (x - a) / (b - a)))
 
 
 def feature_table(pages: DataFrame, known: frozenset[str]) -> DataFrame:

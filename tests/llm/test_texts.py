@@ -179,7 +179,7 @@ def test_spam_decision(spark):
 def test_furniture(spark):
     rows = []
     for i in range(12):
-        lines = ["Home | Shop | Help | About", f"Home > News > Title number {i}", f"Title number {i}", "By the editorial desk", PROSE, "Background", f"{PROSE} And so on {i}.", "- first entry", "Share this page: Mail Print", "→ Another article", "Back to top"]
+        lines = ["Home | Shop | Help | About", f"Home > News > Title number {i}", f"Title number {i}", "By the editorial desk", PROSE, "Background", f"{PROSE} And so on {i}.", f"- entry {chr(97 + i) * 3}", "Share this page: Mail Print", "→ Another article", "Back to top"]
         rows.append((i, "a.org", f"Title number {i}", "\n".join(lines)))
     rows += [(50, None, None, None), (51, "a.org", "t", "")]
     got = {}
