@@ -16,6 +16,8 @@ WORDS = re.compile(r"[^\W_]+").findall
 MIX = 0x9E3779B97F4A7C15
 #: Items are broadcast up to this many UTF-8 bytes together; beyond, they are taken in blocks of this size.
 BLOCK_BYTES = 32 << 20
+#: Documents, hits of pieces and passages that are taken at once.
+DOCUMENTS, HITS, ROWS = 256, 1 << 18, 1 << 14
 
 
 def words(text: str | None) -> list[str]:
@@ -49,30 +51,28 @@ def runs(codes: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def myers(pattern: list, text: list) -> tuple[int, int]:
-    """Least edit distance of `pattern` to any part of `text`, and where that part ends (the first such end).
+def myers(patterns: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Least edit distance of each row of `patterns` (m symbols, 64 at most) to any part of the same row of `texts`.
 
-    Myers' bit-parallel algorithm over any symbols, in integers of as many bits as the pattern is long.
+    Myers' bit-parallel algorithm with a row's state in one 64-bit number, all rows at once.
     """
-    m = len(pattern)
-    if not m:
-        return 0, 0
-    peq: dict = {}
-    for i, s in enumerate(pattern):
-        peq[s] = peq.get(s, 0) | 1 << i
-    full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, end = full, 0, m, m, 0
-    for j, s in enumerate(text):
-        eq = peq.get(s, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph, mh = mv | ~(xh | pv) & full, pv & xh
-        score += bool(ph & top) - bool(mh & top)
-        ph, mh = ph << 1 & full, mh << 1 & full
-        pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j + 1
-    return best, end
+    n, m = patterns.shape
+    one, top = np.uint64(1), np.uint64(m - 1)
+    bits = one << np.arange(m, dtype=np.uint64)
+    pv, mv = np.full(n, (1 << m) - 1, np.uint64), np.zeros(n, np.uint64)
+    score = np.full(n, m, np.int64)
+    best = score.copy()
+    with np.errstate(over="ignore"):
+        for j in range(texts.shape[1]):
+            eq = ((patterns == texts[:, j : j + 1]) * bits).sum(1, dtype=np.uint64)
+            xv = eq | mv
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
+            ph, mh = ph << one, mh << one
+            pv, mv = mh | ~(xv | ph), ph & xv
+            np.minimum(best, score, out=best)
+    return best
 
 
 class Items:
@@ -80,70 +80,84 @@ class Items:
 
     A passage is `window` successive words. With an error budget of e word edits it is cut into e + 1 pieces; e edits
     leave at least one whole. So the runs of window // (e + 1) successive words of an item, at every place, are looked
-    up in a document: none of its passages with at most e edits is missed.
+    up in a document: none of its passages with at most e edits is missed. Every hit is verified by Myers' distance of
+    the passages that hold the piece.
     """
 
     def __init__(self, ids: list[int], texts: list[str | None], window: int, budget: int) -> None:
+        if window > 64:
+            raise ValueError("a passage has 64 words at most")
         self.window, self.budget, self.piece = window, budget, window // (budget + 1)
-        self.codes, known = [], WordCodes()
-        hashes, owner, place = [], [], []
-        self.ids = ids
-        for k, t in enumerate(texts):
-            c = known.of(words(t))
-            self.codes.append(c)
-            if len(c) >= window:
-                h = runs(c, self.piece)
-                hashes.append(h)
-                owner.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-        h = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner, self.place = np.concatenate([np.zeros(0, int), *owner])[order], np.concatenate([np.zeros(0, int), *place])[order]
-
-    def search(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item index, longest exact run of words, least distance of a passage, word where that passage ends)."""
+        self.ids = np.array(ids, np.int64)
+        known = WordCodes()
+        codes = [c if len(c) >= window else c[:0] for c in (known.of(words(t)) for t in texts)]
+        size = np.fromiter(map(len, codes), np.int64, len(codes))
+        self.begin = np.r_[0, np.cumsum(size)]
+        self.codes = np.concatenate([np.zeros(0, np.uint64), *codes])
+        h, place = runs(self.codes, self.piece), np.arange(max(0, len(self.codes) - self.piece + 1))
+        owner = np.repeat(np.arange(len(codes)), size)[: len(h)]
+        whole = place + self.piece <= self.begin[owner + 1] if len(h) else np.zeros(0, bool)
+        order = np.argsort(h[whole], kind="stable")
+        self.hashes, self.owner, self.place = h[whole][order], owner[whole][order], place[whole][order]
+
+    def search(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item index, longest exact run of words, least distance of a passage) of documents that are
+        codes[begin[i]:begin[i + 1]], for distances within the budget."""
+        out = [np.zeros(0, np.int64)] * 4
+        if not len(self.hashes) or len(codes) < self.piece:
+            return tuple(out)
         h = runs(codes, self.piece)
-        if not len(h) or not len(self.hashes):
-            return []
         lo = np.searchsorted(self.hashes, h)
         at = np.flatnonzero(self.hashes[np.minimum(lo, len(self.hashes) - 1)] == h)
-        if not len(at):
-            return []
-        hi = np.searchsorted(self.hashes, h[at], "right")
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for p, a, b in zip(at.tolist(), lo[at].tolist(), hi.tolist()):
-            for r in range(a, b):
-                hits.setdefault(int(self.owner[r]), []).append((p, int(self.place[r])))
-        return [x for item, pairs in hits.items() if (x := self._verify(item, pairs, codes))]
-
-    def _verify(self, item: int, pairs: list[tuple[int, int]], codes: np.ndarray) -> tuple[int, int, int, int] | None:
-        c, w, e = self.codes[item], self.window, self.budget
-        on: dict[int, list[int]] = {}
-        for p, q in pairs:
-            on.setdefault(p - q, []).append(p)
-        longest = 0
-        for places in on.values():  # pieces on one diagonal that follow each other are one exact run
-            places.sort()
-            start = prev = places[0]
-            for p in [*places[1:], places[-1] + w + 2]:
-                if p > prev + 1:
-                    longest = max(longest, prev - start + self.piece)
-                    start = p
-                prev = p
-        if longest >= w:
-            return item, longest, 0, -1
-        best, end, done = w, -1, set()
-        for p, q in pairs:
-            for s in range(max(0, q + self.piece - w), min(q, len(c) - w) + 1):  # passages that hold this piece
-                a = max(0, p - (q - s) - e)
-                if (s, a) in done:
-                    continue
-                done.add((s, a))
-                d, x = myers(c[s : s + w].tolist(), codes[a : a + w + 2 * e].tolist())
-                if d < best:
-                    best, end = d, a + x
-        return (item, longest, best, end) if best <= e else None
+        doc = np.searchsorted(begin, at, "right") - 1
+        inside = at + self.piece <= begin[doc + 1]
+        at, doc = at[inside], doc[inside]
+        lo = lo[at]
+        count = np.searchsorted(self.hashes, h[at], "right") - lo
+        found, first = [], 0
+        ends = np.cumsum(count)
+        while first < len(at):  # whole documents, HITS hits or so at once
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+            last = int(np.searchsorted(doc, doc[last - 1], "right"))
+            c = count[first:last]
+            hit = np.repeat(np.arange(first, last), c)
+            entry = np.arange(len(hit)) - np.repeat(np.cumsum(c) - c, c) + lo[hit]
+            found.append(self._verified(codes, begin, doc[hit], at[hit], self.owner[entry], self.place[entry]))
+            first = last
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(out)
+
+    def _verified(self, codes, begin, doc, p, item, q):
+        """Longest runs and least distances of pieces that stand at p in a document and at q in an item."""
+        w, e, k = self.window, self.budget, self.piece
+        pair = doc * (len(self.ids) + 1) + item
+        order = np.lexsort((p, p - q, pair))
+        doc, p, item, q, pair = (x[order] for x in (doc, p, item, q, pair))
+        # pieces on one diagonal that follow each other are one exact run
+        new = np.r_[True, (pair[1:] != pair[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] != p[:-1] + 1)][: len(p)]
+        start = np.flatnonzero(new)
+        longest = np.diff(np.r_[start, len(p)]) + k - 1
+        pairs, one = np.unique(pair[start], return_inverse=True)
+        run = np.zeros(len(pairs), np.int64)
+        np.maximum.at(run, one, longest)
+        # the passages that hold a run's pieces: those of its places in the item, each once
+        length = np.diff(np.r_[start, len(p)])
+        lowest = np.maximum(self.begin[item[start]], q[start] + k - w)
+        highest = np.minimum(q[start] + length - 1, self.begin[item[start] + 1] - w)
+        many = np.maximum(0, highest - lowest + 1)
+        own = np.repeat(np.arange(len(start)), many)
+        s = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many) + lowest[own]
+        a = s + (p[start] - q[start])[own] - e
+        best = np.full(len(pairs), w + 1, np.int64)
+        for x in range(0, len(own), ROWS):
+            o, sx, ax = own[x : x + ROWS], s[x : x + ROWS], a[x : x + ROWS]
+            place = ax[:, None] + np.arange(w + 2 * e)
+            d = doc[start[o]]
+            good = (place >= begin[d][:, None]) & (place < begin[d + 1][:, None])
+            text = np.where(good, codes[np.clip(place, 0, len(codes) - 1)], np.uint64(0))
+            pattern = np.maximum(self.codes[sx[:, None] + np.arange(w)], np.uint64(1))  # 0 stands for no word
+            np.minimum.at(best, one[o], myers(pattern, text))
+        kept = np.flatnonzero(best <= e)
+        return pairs[kept] // (len(self.ids) + 1), pairs[kept] % (len(self.ids) + 1), run[kept], best[kept]
 
 
 @lru_cache(4)
@@ -184,16 +198,15 @@ def _blocks(items: DataFrame) -> list[tuple[tuple, tuple]]:
 def _task(ids: tuple, texts: tuple, window: int, budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known = _items(ids, texts, window, budget), WordCodes()
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ws = words(text)
-                if len(ws) >= window - budget:
-                    rows += [(doc, found.ids[k], n, d) for k, n, d, _ in found.search(known.of(ws))]
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "exact_words", "distance"]
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(first, DOCUMENTS)
+                ws = [words(t) for t in batch.column(1).to_pylist()]
+                codes = known.of([w for x in ws for w in x])
+                doc, item, exact, distance = found.search(codes, np.r_[0, np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(doc)), pa.array(found.ids[item]), pa.array(exact.astype(np.int32)), pa.array(distance.astype(np.int32))], ["doc_id", "item_id", "exact_words", "distance"]
+                )
 
     return run
 

@@ -196,7 +196,16 @@ links AS (
   SELECT DISTINCT least(x.class, y.class) AS a, greatest(x.class, y.class) AS b, round(c / (na + nb - c), 6) AS similarity
   FROM alike JOIN classes x ON x.id = a JOIN classes y ON y.id = b WHERE x.class <> y.class)"""
 
+PASSAGE = " || ' ' || ".join(f"ws[i + {j}]" for j in range(12))
+
+
+def _passages(key: str, source: str) -> str:
+    return f"""SELECT DISTINCT {key}, unnest(list_transform(range(1, len(ws) - 10), lambda i: {PASSAGE})) AS x FROM (
+    SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM {source}) WHERE len(ws) >= 12"""
+
+
 ORACLES = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_passages('doc_id', 'documents')}) JOIN ({_passages('item_id', 'eval_items')}) USING (x)",
     "p5_found": _alike(3, 0.6) + " SELECT a AS id_a, b AS id_b FROM alike",
     "p5_groups": f"{_alike(5, 0.8)}, {CLASSES} SELECT id, class, (SELECT count(*) FROM links WHERE a = class OR b = class) AS links FROM classes",
     "p5_links": f"{_alike(5, 0.8)}, {CLASSES} SELECT * FROM links",

@@ -6,6 +6,7 @@ import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from sparrowdex.llm import boiler, encode, leaks, neardup, sentences, sitelines, spam
@@ -41,12 +42,17 @@ def _edit(p, t):
 
 def test_myers_is_edit_distance():
     rng = random.Random(5)
-    for _ in range(200):
-        p, t = [[rng.randrange(4) for _ in range(rng.randrange(1, n))] for n in (12, 40)]
-        assert leaks.myers(p, t)[0] == _edit(p, t)
+    for _ in range(60):
+        m, n = rng.randrange(1, 65), rng.randrange(1, 40)
+        p, t = ([[rng.randrange(4) for _ in range(k)] for _ in range(9)] for k in (m, n))
+        assert leaks.myers(np.array(p, np.uint64), np.array(t, np.uint64)).tolist() == [_edit(x, y) for x, y in zip(p, t)]
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_leaks(spark, monkeypatch, small):
+    if small:  # in many pieces
+        for name in ("DOCUMENTS", "HITS", "ROWS"):
+            monkeypatch.setattr(leaks, name, 3)
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     items = [(i, " ".join(word() for _ in range(30)), "test") for i in range(20)] + [(20, "too short", "test"), (21, None, "test")]
@@ -72,7 +78,8 @@ def test_leaks(spark):
                 want.add((d, i))
     got = leaks.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string, split string")).collect()
     assert {(r.doc_id, r.item_id) for r in got if r.distance == 0} == want and want
-    assert any(r.distance == 1 for r in got)
+    changed = {(d, i) for d, t, *_ in docs for i, s, _ in items if len(v := (s or "").split()) >= 12 and min(_edit(v[k : k + 12], re.findall(r"[^\W_]+", (t or "").lower())) for k in range(len(v) - 11)) == 1}
+    assert {(r.doc_id, r.item_id) for r in got if r.distance == 1} == changed and changed
 
 
 @pytest.mark.parametrize(("hot", "piece"), [(1 << 14, 1 << 20), (3, 50)])
