@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparrowdex.llm.common import trimmed
+from sparrowdex.session import written
 
 SLOTS = 4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -21,13 +23,21 @@ def with_url_key(rows: DataFrame, url: str = "url", key: str = "key") -> DataFra
 
     A text that isn't scheme://... is its own key, trimmed and without fragment. Null stays null.
     """
-    u, head = F.col("__u"), F.col("__head")
-    plain = F.substring_index(trimmed(url), "#", 1)
-    plain = F.regexp_replace(plain, r"^([^:/?]+://[^?]*?)/+(\?.*)?$", "$1$2")
-    plain = F.regexp_replace(plain, r"^(?i)(http://[^/?]*):80(?=[/?]|$)|^(https://[^/?]*):443(?=[/?]|$)", "$1$2")
-    user = F.concat(F.lower(F.substring_index(head, "://", 1)), F.lit("://"), F.regexp_extract(head, "://(.*@)", 1), F.lower(F.substring_index(head, "@", -1)))
-    named = rows.withColumn("__u", plain).withColumn("__head", F.regexp_extract(u, r"^[^:/?]+://[^/?]*", 0))
-    return named.withColumn(key, F.concat(F.when(F.contains(head, F.lit("@")), user).otherwise(F.lower(head)), F.substring(u, F.length(head) + 1, F.length(u)))).drop("__u", "__head")
+    text = F.substring_index(trimmed(url), "#", 1)
+    scheme = F.substring_index("__u", "://", 1)
+    rest = F.substring("__u", F.length("__scheme") + 4, F.length("__u"))
+    path = F.rtrim(F.substring_index("__rest", "?", 1), F.lit("/"))
+    query = F.substring("__rest", F.length(F.substring_index("__rest", "?", 1)) + 1, F.length("__rest"))
+    place = F.substring_index("__path", "/", 1)
+    user = F.substring(F.col("__place"), F.lit(1), F.length("__place") - F.length(F.substring_index("__place", "@", -1)))
+    host = F.lower(F.substring_index("__place", "@", -1))
+    port = F.when(F.col("__scheme") == "http", ":80").when(F.col("__scheme") == "https", ":443")
+    bare = F.when(F.endswith(host, port), F.substring(host, F.lit(1), F.length(host) - F.length(port))).otherwise(host)
+    named = rows.withColumn("__u", text).withColumn("__scheme", scheme)
+    is_url = (F.length("__scheme") > 0) & (F.length("__scheme") < F.length("__u")) & (F.translate("__scheme", ":/?", "") == F.col("__scheme"))
+    named = named.withColumn("__url", is_url).withColumn("__scheme", F.lower("__scheme")).withColumn("__rest", rest).withColumn("__path", path).withColumn("__place", place)
+    whole = F.concat(F.col("__scheme"), F.lit("://"), user, bare, F.substring("__path", F.length("__place") + 1, F.length("__path")), query)
+    return named.withColumn(key, F.when(F.col("__url"), whole).otherwise(F.col("__u"))).drop("__u", "__scheme", "__url", "__rest", "__path", "__place")
 
 
 class CuckooTable:
@@ -55,6 +65,18 @@ class CuckooTable:
     def _other(b: np.ndarray, p: np.ndarray, mask: int) -> np.ndarray:
         return b ^ ((((p.astype(np.uint64) * MIX) >> np.uint64(24)).astype(np.int64) | 1) & mask)
 
+    def save(self) -> list[tuple[int, int, int, bytes]]:
+        """(segment, slots a bucket, filled slots, slots) of each segment, from which `restore` makes the table again."""
+        return [(i, s.shape[1], n, s.tobytes()) for i, (s, n) in enumerate(zip(self.segments, self.filled))]
+
+    def restore(self, segment: int, slots: int, filled: int, data: bytes) -> None:
+        """Put back one saved segment; segments come in order, into a table that is new."""
+        if segment == 0:
+            self.segments, self.filled, self.count = [], [], 0
+        self.segments.append(np.frombuffer(data, np.uint32).reshape(-1, slots).copy())
+        self.filled.append(filled)
+        self.count += filled
+
     def contains(self, h: np.ndarray) -> np.ndarray:
         p, hit = self._print(h), np.zeros(len(h), bool)
         for s in self.segments:
@@ -148,56 +170,131 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(later)], [*batch.schema.names, "decided"])
 
 
-def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run rows, sorted by arrival, through this task's cuckoo table; the table is all that is kept between batches."""
-    table = CuckooTable()
+#: What a row laid out to the tables is: a saved segment, a key to forget, a key that arrives, one that is decided already.
+SEGMENT, FORGET, KEY, DECIDED = range(4)
+LAID = "part int, op int, arrival long, h1 long, h2 long, segment int, slots int, filled long, data binary"
+GIVEN = "arrival long, h1 long, h2 long, decided boolean, seen boolean, part int, segment int, slots int, filled long, data binary"
+
+
+def _through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, op, segment and arrival: loads the part's table, forgets, answers keys in order, gives the table back.
+
+    The table of one part is all that is kept between batches.
+    """
+    table, part = CuckooTable(), None
+    none = lambda n, t: pa.nulls(n, t)
+    names = [x.split()[0] for x in GIVEN.split(", ")]
+
+    def given(arrival, h1, h2, decided, seen) -> pa.RecordBatch:
+        n = len(arrival)
+        return pa.RecordBatch.from_arrays([arrival, h1, h2, pa.array(decided), pa.array(seen), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.binary())], names)
+
+    def saved() -> pa.RecordBatch:
+        rows = table.save()
+        n = len(rows)
+        cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))]
+        return pa.RecordBatch.from_arrays([none(n, pa.int64())] * 3 + [none(n, pa.bool_())] * 2 + [pa.array([part] * n, pa.int32()), *cols], names)
+
     for batch in batches:
-        h1, order, decided = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "arrival", "decided"))
-        h = h1.view(np.uint64)
-        seen = decided.copy()
-        ask = np.flatnonzero(~decided)
-        keys, first, inverse = np.unique(h[ask], return_index=True, return_inverse=True)
-        known = table.contains(keys)
-        table.add(keys[~known])
-        seen[ask] = known[inverse] | (order[ask] > order[ask][first][inverse])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seen)], [*batch.schema.names, "seen"])
+        parts, ops = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "op"))
+        new = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (ops[1:] != ops[:-1])][: len(parts)])
+        for a, b in zip(new, np.r_[new[1:], len(parts)]):
+            rows, op = batch.slice(a, b - a), ops[a]
+            arrival, h1, h2 = (rows.column(c) for c in ("arrival", "h1", "h2"))
+            if op == DECIDED:
+                yield given(arrival, h1, h2, np.ones(b - a, bool), np.ones(b - a, bool))
+                continue
+            if parts[a] != part:
+                if part is not None:
+                    yield saved()
+                table, part = CuckooTable(), int(parts[a])
+            if op == SEGMENT:
+                for r in rows.select(["segment", "slots", "filled", "data"]).to_pylist():
+                    table.restore(*r.values())
+                continue
+            h, order = h1.to_numpy().view(np.uint64), arrival.to_numpy()
+            keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+            known = table.contains(keys)
+            if op == FORGET:
+                table.remove(keys[known])
+                continue
+            table.add(keys[~known])
+            yield given(arrival, h1, h2, np.zeros(b - a, bool), known[inverse] | (order > order[first][inverse]))
+    if part is not None:
+        yield saved()
 
 
-def seen_before(known: DataFrame, arriving: DataFrame, key: str = "key", arrival: str = "entry_id") -> DataFrame:
-    """(entry_id, h1, h2, decided, seen) of each arriving row with a key: the cuckoo tables' answer.
+class SeenTables:
+    """Cuckoo tables of keys, one for each part of the hashes, kept as rows in the shared folder; a batch makes a new version.
 
-    `known` has the keys that were there before all others; both have column `key`. Rows are hashed to 128 bits; in
-    each Arrow batch all but the first row of a key are decided at once and spread by arrival, so a key with a third of
-    all rows doesn't meet in one task. The rest is laid out by hash and passed through the tables in order of arrival.
-    Null keys are left out. arrival must be a positive whole number that orders the rows.
+    `path` is the folder of the version, None for empty tables. Each method gives new tables and leaves the old ones as they
+    were, so a lost executor or driver leaves the last version whole, and a batch can be run again.
     """
-    h = [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), F.col(key)).alias("h2")]
-    rows = known.where(F.col(key).isNotNull()).select(F.lit(-1).cast("long").alias("arrival"), *h).unionByName(
-        arriving.where(F.col(key).isNotNull()).select(F.col(arrival).cast("long").alias("arrival"), *h)
-    )
-    marked = rows.mapInArrow(_reduce, "arrival long, h1 long, h2 long, decided boolean")
-    laid = marked.repartition(F.when(F.col("decided"), F.xxhash64("arrival")).otherwise(F.col("h1"))).sortWithinPartitions("arrival")
-    out = laid.mapInArrow(_filter, "arrival long, h1 long, h2 long, decided boolean, seen boolean")
-    return out.withColumnRenamed("arrival", arrival)
+
+    def __init__(self, spark: SparkSession, parts: int | None = None, path: str | None = None) -> None:
+        self.spark, self.path = spark, path
+        self.parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(self) -> DataFrame:
+        """(part, segment, slots, filled, data) of all tables."""
+        return self.spark.read.schema(GIVEN).parquet(self.path).where("data IS NOT NULL").select("part", "segment", "slots", "filled", "data")
+
+    def size(self) -> int:
+        """How many keys the tables hold."""
+        return 0 if self.path is None else self.rows().agg(F.coalesce(F.sum("filled"), F.lit(0))).first()[0]
+
+    def extended(self, keys: DataFrame | None, forget: DataFrame | None = None, key: str = "key", arrival: str = "entry_id") -> tuple[SeenTables, DataFrame]:
+        """(tables with the batch, answers): forgets the keys of `forget`, then asks and adds those of `keys` in order of arrival.
+
+        Answers are (arrival, h1, h2, decided, seen). Keys are hashed to 128 bits; in each Arrow batch all but the first row of a
+        key are decided at once and spread by arrival, so a key with a third of all rows doesn't meet in one task. The rest is
+        laid out by part with the part's table and passed through it. Null keys are left out. arrival must be a positive whole
+        number that orders the rows of a batch. A key is to be forgotten once, and only if it was added.
+        """
+        none = {x.split()[0]: F.lit(None).cast(x.split()[1]) for x in LAID.split(", ")}
+        part = F.pmod("h1", F.lit(self.parts)).cast("int")
+        laid = []
+        if keys is not None:
+            rows = keys.where(F.col(key).isNotNull()).select(F.col(arrival).cast("long").alias("arrival"), *key_hashes(key))
+            marked = rows.mapInArrow(_reduce, "arrival long, h1 long, h2 long, decided boolean")
+            spread = -1 - F.pmod(F.xxhash64("arrival"), F.lit(self.parts)).cast("int")
+            laid.append(marked.select(F.when(F.col("decided"), spread).otherwise(part).alias("part"), F.when(F.col("decided"), DECIDED).otherwise(KEY).alias("op"), "arrival", "h1", "h2"))
+        if forget is not None:
+            gone = forget.where(F.col(key).isNotNull()).select(*key_hashes(key)).distinct()
+            laid.append(gone.select(part.alias("part"), F.lit(FORGET).alias("op"), "h1", "h2"))
+        if self.path is not None:
+            laid.append(self.rows().withColumn("op", F.lit(SEGMENT)))
+        full = [d.select(*[F.col(c) if c in d.columns else v.alias(c) for c, v in none.items()]) for d in laid]
+        both = reduce(DataFrame.unionByName, full)
+        out = both.repartition("part").sortWithinPartitions("part", "op", "segment", "arrival").mapInArrow(_through, GIVEN)
+        path = written(out, "seen-tables")
+        answers = self.spark.read.schema(GIVEN).parquet(path).where("data IS NULL").select(F.col("arrival").alias(arrival), "h1", "h2", "decided", "seen")
+        return SeenTables(self.spark, self.parts, path), answers
+
+
+def key_hashes(key: str) -> list[Column]:
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(0x5BD1E995), F.col(key)).alias("h2")]
+
+
+def seen_before(known: DataFrame, arriving: DataFrame, key: str = "key", arrival: str = "entry_id") -> DataFrame:
+    """(entry_id, h1, h2, decided, seen) of each arriving row with a key: the answer of cuckoo tables that were made of the keys
+    of `known` and saved, then loaded and extended by the arriving rows. Both have column `key`; null keys are left out."""
+    before, _ = SeenTables(known.sparkSession).extended(known.withColumn("__at", F.lit(1)), key=key, arrival="__at")
+    return before.extended(arriving, key=key, arrival=arrival)[1]
 
 
-def checked(answers: DataFrame, arrival: str = "entry_id") -> DataFrame:
+def checked(answers: DataFrame, known: DataFrame, key: str = "key", arrival: str = "entry_id") -> DataFrame:
     """Exact check of the tables' answers: adds `true_seen`.
 
-    A row answered as new is new (the tables have no false negatives). A row answered as seen is right if its key was
-    answered as new at an earlier arrival; this is a join of the two kinds of rows. Keys none of whose rows was answered
-    as new had a false positive at their first row, which is then corrected; keys of `known` are always kept as seen.
-    Rows decided before the shuffle are exact and skip the check.
+    A row is seen if its key is one of `known`, or its key has an earlier row: one aggregate by 128 bits of the key, joined back to
+    the rows that weren't decided before any shuffle; those are exact as they are.
     """
-    seen = answers.where(f"seen AND {arrival} >= 0")
-    sure, asked = seen.where("decided").withColumn("true_seen", F.lit(True)), seen.where("NOT decided")
-    first = answers.where("NOT decided AND (NOT seen OR entry_id < 0)".replace("entry_id", arrival)).groupBy("h1", "h2").agg(F.min(arrival).alias("began"))
-    joined = asked.join(first, ["h1", "h2"], "left")
-    lost = joined.where("began IS NULL").groupBy("h1", "h2").agg(F.min(arrival).alias("lead"))
-    exact = joined.join(lost, ["h1", "h2"], "left").withColumn("true_seen", F.coalesce(F.col(arrival) > F.coalesce("began", "lead"), F.lit(False)))
-    new = answers.where(f"NOT seen AND {arrival} >= 0").withColumn("true_seen", F.lit(False))
+    rows = answers.where("NOT decided").select(arrival, "h1", "h2")
+    old = known.where(F.col(key).isNotNull()).select(F.lit(0).cast("long").alias(arrival), *key_hashes(key)).distinct()
+    first = rows.unionByName(old).groupBy("h1", "h2").agg(F.min(arrival).alias("began"))
+    asked = answers.where("NOT decided").join(first, ["h1", "h2"]).withColumn("true_seen", F.col(arrival) > F.col("began"))
     cols = [arrival, "seen", "true_seen"]
-    return sure.select(*cols).unionByName(exact.select(*cols)).unionByName(new.select(*cols))
+    return answers.where("decided").withColumn("true_seen", F.lit(True)).select(*cols).unionByName(asked.select(*cols))
 
 
 def audited(answers: DataFrame) -> DataFrame:

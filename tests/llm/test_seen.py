@@ -53,7 +53,8 @@ def test_seen_matches_exact(spark):
                 want.add(i)
             before.add(key)
     answers = S.seen_before(k, a).cache()
-    checked = S.checked(answers)
+    checked = S.checked(answers, k)
+    assert {r.entry_id for r in answers.where("seen").collect()} == want
     assert {r.entry_id for r in checked.where("true_seen").collect()} == want
     assert checked.count() == 6000
     audit = S.audited(checked).first()
@@ -62,4 +63,27 @@ def test_seen_matches_exact(spark):
 
 def test_empty(spark):
     k, a = spark.createDataFrame([], "key string"), spark.createDataFrame([], "entry_id long, key string")
-    assert S.checked(S.seen_before(k, a)).count() == 0
+    assert S.checked(S.seen_before(k, a), k).count() == 0
+
+
+def test_saved_tables_grow_and_forget(spark):
+    rows = lambda a, b: spark.createDataFrame([(i, f"k{i}") for i in range(a, b)], "entry_id long, key string")
+    tables, answers = S.SeenTables(spark, 3).extended(rows(1, 9001))
+    assert answers.where("seen").count() == 0 and tables.size() == 9000
+    more, answers = tables.extended(rows(8001, 20001))
+    assert {r.entry_id for r in answers.where("seen").collect()} == set(range(8001, 9001)) and more.size() == 20000
+    assert more.rows().groupBy("part").count().agg({"count": "max"}).first()[0] > 1  # saturated: more than one segment
+    less, _ = more.extended(None, forget=rows(1, 5001))
+    last, answers = less.extended(rows(4001, 6001), forget=rows(5999, 6000))
+    assert less.size() == 15000 and {r.entry_id for r in answers.where("seen").collect()} == set(range(5001, 6001)) - {5999}
+    assert last.size() == 16000 and tables.size() == 9000  # older versions stay as they were
+
+
+def test_a_full_bucket_pair_is_widened():
+    t = S.CuckooTable(2, load=1.0, kicks=2)
+    h = (np.arange(1, 41, dtype=np.uint64) << np.uint64(32)) + np.uint64(7)
+    t.add(h)
+    again = S.CuckooTable()
+    for row in t.save():
+        again.restore(*row)
+    assert t.contains(h).all() and again.contains(h).all() and again.count == t.count and max(s.shape[1] for s in again.segments) > S.SLOTS
