@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowdex.llm.common import without_lines
 from sparrowdex.llm.pagelines import ENDS, folded, words
 from sparrowdex.operators.skew import join_stats
 from sparrowdex.session import through_table
@@ -217,6 +218,4 @@ def is_web_page(content_type: Column) -> Column:
 def main_text(pages: DataFrame) -> DataFrame:
     """(id, content): each page's text without its furniture, line by line; null texts stay null."""
     bad = furniture_lines(pages).groupBy("id").agg(F.collect_list("line_no").alias("bad"))
-    now = pages.join(bad, "id", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<int>")))
-    kept = F.filter(F.transform(F.split("content", "\n", -1), lambda x, i: F.when(~F.array_contains("bad", i), x)), lambda x: x.isNotNull())
-    return now.select("id", F.array_join(kept, "\n").alias("content"))
+    return pages.join(bad, "id", "left").select("id", without_lines(F.col("content"), F.col("bad")).alias("content"))

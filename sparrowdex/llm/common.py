@@ -43,3 +43,10 @@ def site(domain: Column, url: Column) -> Column:
 def digest(text: Column) -> list[Column]:
     """128 bits of a text as two longs, which stand for the text wherever texts are compared."""
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5BD1E995), text)]
+
+
+def without_lines(text: Column, numbers: Column) -> Column:
+    """A text without the lines of the given numbers (array of int, null for none); null stays null. Linear in both."""
+    lines = F.split(text, "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce(numbers, F.array().cast("array<int>")))
+    return F.when(F.size(F.coalesce(numbers, F.array().cast("array<int>"))) == 0, text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))

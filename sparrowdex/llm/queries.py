@@ -211,6 +211,22 @@ ORACLES = {
     "p2_found": FREQUENCIES + "SELECT term, mark FROM freq WHERE mark IS NOT NULL",
     "p2_term_frequencies": FREQUENCIES + "SELECT * FROM freq",
     "p3_found": f"WITH {ARRIVALS} SELECT entry_id FROM (SELECT entry_id, min(entry_id) OVER (PARTITION BY key) AS began FROM arrivals) WHERE entry_id > began",
+    "p4_cleaned": r"""
+WITH now AS (
+  SELECT id, content, CAST(crawled_at AS DATE) AS day, regexp_replace(lower(coalesce(domain, regexp_extract(url, '^[^:]*://([^/?#:]*)', 1))), '^www\.', '') AS site FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY crawled_at DESC NULLS LAST) AS k FROM docs)
+  WHERE k = 1 AND NOT coalesce(is_removed, false)),
+lines AS (
+  SELECT id, site, day, unnest(string_split(content, E'\n')) AS text, unnest(range(len(string_split(content, E'\n')))) AS line_no FROM now WHERE content <> ''),
+same AS (SELECT *, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS line FROM lines),
+clusters AS (SELECT site, min(id) AS id FROM now WHERE content <> '' GROUP BY site, content),
+bad AS (
+  SELECT site, line FROM same JOIN clusters USING (site, id) WHERE line <> ''
+  GROUP BY site, line HAVING count(DISTINCT id) >= 5 AND count(DISTINCT coalesce(day, DATE '0001-01-01')) >= 5),
+kept AS (
+  SELECT id, string_agg(text, E'\n' ORDER BY line_no) FILTER (WHERE bad.line IS NULL) AS content, count(bad.line) AS removed
+  FROM same LEFT JOIN bad USING (site, line) GROUP BY id)
+SELECT now.id, CASE WHEN kept.id IS NULL THEN now.content ELSE coalesce(kept.content, '') END AS content, CAST(coalesce(removed, 0) AS INTEGER) AS removed FROM now LEFT JOIN kept USING (id)""",
     "p4_found": r"""
 WITH now AS (
   SELECT id, content, regexp_replace(lower(coalesce(domain, regexp_extract(url, '^[^:]*://([^/?#:]*)', 1))), '^www\.', '') AS site FROM (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowdex.llm.common import INLINE_BLANKS, current_records, digest, site, trimmed
+from sparrowdex.llm.common import INLINE_BLANKS, current_records, digest, site, trimmed, without_lines
 from sparrowdex.operators.skew import join_stats
 from sparrowdex.session import through_table
 
@@ -36,9 +36,10 @@ def _counts(now: DataFrame) -> DataFrame:
     c = digest(F.col("content"))
     clusters = now.select("id", "site", c[0].alias("c1"), c[1].alias("c2")).groupBy("site", "c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("members"))
     lines = now.join(clusters.select("id", "members"), "id").select("site", "day", "members", same_lines(F.col("content")).alias("lines"))
-    each = lines.select("site", "day", "members", "lines", F.posexplode("lines").alias("i", "line")).where("line <> ''")
-    first = (F.array_position("lines", F.col("line")) == F.col("i") + 1).cast("int")
-    daily = each.select(*_keyed(F.col("site"), F.col("line")), "day", "members", first.alias("first")).groupBy("h1", "h2", "day").agg(
+    keys = F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(*_keyed(F.col("site"), x)))
+    held = lines.select("day", "members", F.sort_array(keys).alias("ks"))  # equal lines side by side: linear but for the sort
+    each = held.select("day", "members", F.posexplode(F.transform("ks", lambda k, i: F.struct(k["h1"].alias("h1"), k["h2"].alias("h2"), (~k.eqNullSafe(F.get("ks", i - 1))).cast("int").alias("first")))).alias("i", "k"))
+    daily = each.select("k.*", "day", "members").groupBy("h1", "h2", "day").agg(
         F.sum("members").alias("line_rows"), F.sum(F.col("members") * F.col("first")).alias("records"), F.sum("first").alias("clusters")
     )
     return daily.groupBy("h1", "h2").agg(F.sum("line_rows").alias("line_rows"), F.sum("records").alias("records"), F.sum("clusters").alias("clusters"), F.count("*").alias("days"))
@@ -74,6 +75,5 @@ def without_repeated_lines(docs: DataFrame, least: int = 5, by: str = "clusters"
     Records without text keep their null or empty content, with 0 removed.
     """
     bad = repeated_lines(docs, least, by, days).groupBy("id").agg(F.collect_list("line_no").alias("bad"))
-    now = current_records(docs, ["content"]).join(bad, "id", "left").withColumn("bad", F.coalesce("bad", F.array().cast("array<int>")))
-    kept = F.filter(F.transform(F.split("content", "\n", -1), lambda x, i: F.when(~F.array_contains("bad", i), x)), lambda x: x.isNotNull())
-    return now.select("id", F.array_join(kept, "\n").alias("content"), F.size("bad").alias("removed"))
+    now = current_records(docs, ["content"]).join(bad, "id", "left")
+    return now.select("id", without_lines(F.col("content"), F.col("bad")).alias("content"), F.coalesce(F.size("bad"), F.lit(0)).alias("removed"))
