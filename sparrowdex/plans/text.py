@@ -9,6 +9,7 @@ from sparrowdex.functions import text as T
 from sparrowdex.functions.dialect import DUCK, SPARK, apply_steps, sql_steps
 from sparrowdex.operators import index as I
 from sparrowdex.operators import rank as R
+from sparrowdex.operators.store import TextIndex
 from sparrowdex.sources.tables import table
 
 #: The queries' words: some that are frequent in the test tables.
@@ -40,9 +41,12 @@ def stem_vocab(spark, d):
     return T.with_stem(T.raw_tokens(_docs(spark, d)).select("w").distinct())
 
 
+def _index(spark: SparkSession, d: str) -> TextIndex:
+    return TextIndex.of(spark, f"{d}/documents.parquet", _docs(spark, d), "documents-index")
+
+
 def term_positions(spark, d):
-    p = I.postings(_terms(spark, d))
-    return p.select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
+    return _index(spark, d).postings().select("term", "doc_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
 def _tokens(spark, d):
@@ -61,67 +65,69 @@ def shingles_3(spark, d):
 
 
 def index_df(spark, d):
-    return I.document_frequency(_terms(spark, d))
+    return _index(spark, d).dictionary()
 
 
 def corpus_stats(spark, d):
-    return I.corpus_stats(_terms(spark, d))
+    return _index(spark, d).stats()
 
 
 def posting_gaps(spark, d):
-    return I.posting_gaps(I.postings(_terms(spark, d)))
+    return I.posting_gaps(_index(spark, d).postings())
 
 
 def posting_codec(spark, d):
-    back = I.decoded_positions(I.encoded_positions(I.postings(_terms(spark, d))))
-    return back.select("term", "doc_id", F.array_join("positions", ",").alias("positions"))
+    """Positions after coding and decoding, and the code's length."""
+    coded = I.encoded_positions(_index(spark, d).postings())
+    back = I.decoded_positions(coded).join(coded.select("term", "doc_id", F.length("code").alias("code_bytes")), ["term", "doc_id"])
+    return back.select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "code_bytes")
+
+
+def _ranked(spark, d, score="bm25"):
+    return _index(spark, d).ranked(STEMS).select("doc_id", F.round(score, 6).alias("score"))
 
 
 def bm25_topk(spark, d):
-    s = R.bm25(_terms(spark, d), STEMS)
-    return R.top(s.select("doc_id", F.round("bm25", 6).alias("score")), 10)
+    return R.top(_ranked(spark, d), 10)
 
 
 def tfidf_topk(spark, d):
-    s = R.bm25(_terms(spark, d), STEMS)
-    return R.top(s.select("doc_id", F.round("tf_idf", 6).alias("score")), 10)
+    return R.top(_ranked(spark, d, "tf_idf"), 10)
 
 
 def page_slice(spark, d):
-    s = R.bm25(_terms(spark, d), STEMS)
-    return R.top(s.select("doc_id", F.round("bm25", 6).alias("score")), 10, 20)
+    return R.top(_ranked(spark, d), 10, 20)
 
 
 def rank_numbers(spark, d):
-    s = R.bm25(_terms(spark, d), STEMS).select("doc_id", F.round("bm25", 6).alias("score"))
-    return s.where("score > 0").agg(F.count("*").alias("matches"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 3).alias("total"))
+    return _ranked(spark, d).where("score > 0").agg(F.count("*").alias("matches"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
 A, B, C = (T.query_stems(w)[0] for w in ("index", "search", "slow"))
 
 
-def _post(spark, d):
-    return I.postings(_terms(spark, d))
+def _boolean(spark, d, steps):
+    return I.boolean_query(_index(spark, d).of_terms([t for _, t in steps]), _docs(spark, d), steps).select("doc_id", "tf")
 
 
 def bool_and(spark, d):
-    return I.boolean_query(_post(spark, d), _docs(spark, d), [("AND", A), ("AND", B)]).select("doc_id", "tf")
+    return _boolean(spark, d, [("AND", A), ("AND", B)])
 
 
 def bool_or(spark, d):
-    return I.boolean_query(_post(spark, d), _docs(spark, d), [("AND", A), ("OR", B)]).select("doc_id", "tf")
+    return _boolean(spark, d, [("AND", A), ("OR", B)])
 
 
 def bool_not(spark, d):
-    return I.boolean_query(_post(spark, d), _docs(spark, d), [("NOT", A), ("AND", C), ("NOT", B)]).select("doc_id", "tf")
+    return _boolean(spark, d, [("NOT", A), ("AND", C), ("NOT", B)])
 
 
 def phrase_match(spark, d):
-    return I.phrase_query(_terms(spark, d), T.query_stems("search box"))
+    return _index(spark, d).phrase(T.query_stems("search box"))
 
 
 def fuzzy_match(spark, d):
-    return I.fuzzy_query(_post(spark, d), "indez", 2)
+    return _index(spark, d).fuzzy("indez", 2)
 
 
 def readability(spark, d):
@@ -172,7 +178,8 @@ FROM (SELECT doc_id, {T.simple_words_sql('text')} AS ws FROM documents)) GROUP B
 SELECT count(*) AS terms, CAST(sum(n) AS BIGINT) AS postings, CAST(sum(t) AS BIGINT) AS tokens, CAST(sum(2 * length(term) + 8 + 12 * n) AS BIGINT) AS size_bytes,
 any_value(documents) AS documents, sum(t) / any_value(documents) AS avg_length FROM t, dd""",
     "posting_gaps": f"{POST} SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM post",
-    "posting_codec": f"SELECT term, doc_id, string_agg(pos, ',' ORDER BY pos) AS positions FROM ({TERMS}) GROUP BY ALL",
+    "posting_codec": f"""SELECT term, doc_id, string_agg(pos, ',' ORDER BY pos) AS positions, CAST(sum(1 + (gap >= 128)::INT + (gap >= 16384)::INT + (gap >= 2097152)::INT) AS INTEGER) AS code_bytes
+FROM (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY pos) AS gap FROM ({TERMS})) GROUP BY term, doc_id""",
     "bm25_topk": f"{BM25}, scored AS (SELECT doc_id, round(bm, 6) AS score FROM raw) SELECT * FROM ({ORDERED}) WHERE rank <= 10",
     "tfidf_topk": f"{BM25}, scored AS (SELECT doc_id, round(ti, 6) AS score FROM raw) SELECT * FROM ({ORDERED}) WHERE rank <= 10",
     "page_slice": f"{BM25}, scored AS (SELECT doc_id, round(bm, 6) AS score FROM raw) SELECT * FROM ({ORDERED}) WHERE rank BETWEEN 21 AND 30",
