@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowdex.functions.text import normalize_text
+from sparrowdex.session import through_table
 
 #: Intents by pattern, first match wins; entities by kind.
 NAVIGATIONAL = ("(login|signup|sign in|sign up|register)\\b", "^(facebook|twitter|youtube|instagram|linkedin|github|amazon)\\b", "[.](com|org|net|io)\\b", "^(open|go\\s+to|visit|launch)\\b")
@@ -101,28 +102,39 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(u > 0, F.size(F.array_intersect(a, b)) / u).otherwise(0.0)
 
 
-def spelling_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2) -> DataFrame:
-    """(w, candidate, freq, distance, phonetic) for words that aren't in the dictionary.
+def spelling_candidates(words: DataFrame, dictionary: DataFrame, most: int = 2, keep: int = 20) -> DataFrame:
+    """(w, candidate, freq, distance, phonetic) for words that aren't in the dictionary: the first `keep` candidates of each.
 
-    Candidates are dictionary words at the least distance of a word, `most` at most; words with the same phonetic code;
-    and fixed misspellings. Words within distance d share one of their forms with at most d letters left out, so the
-    join is on such forms, never of all with all. Words longer than the longest dictionary word by more than that have no
-    near one, so no forms of them are made. Null words have none.
+    Candidates are, in this order, dictionary words at the least distance of a word, `most` (1 or 2) at most; fixed misspellings; and words
+    with the same phonetic code; each by frequency, then by alphabet. Words within distance d share one of their forms with
+    at most d letters left out, so the join is on such forms, never of all with all; forms with two letters less are made only for
+    words without one at distance 1. Of a phonetic code only the first `keep` words can be among a word's candidates, so
+    only these are joined. Null words have none.
     """
-    new = words.select("w").where("length(w) > 0").distinct().join(dictionary.select(F.col("word").alias("w")), "w", "left_anti")
-    forms = lambda c, d: F.explode(_deletions(c, d))
-    longest = dictionary.agg(F.max(F.length("word")).alias("longest"))
-    a = new.crossJoin(F.broadcast(longest)).where(F.length("w") <= F.col("longest") + most).select("w", forms(F.col("w"), most).alias("form"))
-    b = dictionary.select(F.col("word").alias("candidate"), "freq", forms(F.col("word"), most).alias("form"))
-    near = a.join(b, "form").select("w", "candidate", "freq").distinct().withColumn("distance", F.levenshtein("w", "candidate", most)).where("distance >= 0")
-    near = near.withColumn("least", F.min("distance").over(Window.partitionBy("w"))).where("distance = least").drop("least")
-    alike = new.withColumn("code", soundex("w")).join(dictionary.select(F.col("word").alias("candidate"), "freq", soundex("word").alias("code")), "code")
-    alike = alike.select("w", "candidate", "freq", F.levenshtein("w", "candidate").alias("distance"))
+    new = through_table(words.select("w").where("length(w) > 0").distinct().join(dictionary.select(F.col("word").alias("w")), "w", "left_anti"), "unknown-words")
+    known = through_table(dictionary.select(F.col("word").alias("candidate"), "freq"), "dictionary")
+    longest = known.agg(F.max(F.length("candidate")).alias("longest"))
+    short = new.crossJoin(F.broadcast(longest)).where(F.length("w") <= F.col("longest") + most).select("w")
+
+    def near_by(ws: DataFrame, d: int) -> DataFrame:
+        a = ws.select("w", F.explode(_deletions(F.col("w"), d)).alias("form"))
+        b = known.select("candidate", "freq", F.explode(_deletions(F.col("candidate"), d)).alias("form"))
+        met = a.join(b, "form").select("w", "candidate", "freq", F.levenshtein("w", "candidate", d).alias("distance")).where("distance >= 0")
+        return met.distinct()
+
+    near = through_table(near_by(short, 1), "near-words")
+    if most > 1:
+        near = near.unionByName(near_by(short.join(near.select("w").distinct(), "w", "left_anti"), 2))
     fixed = F.create_map(*[F.lit(x) for kv in MISSPELLINGS.items() for x in kv])
-    known = new.withColumn("candidate", F.try_element_at(fixed, F.col("w"))).where("candidate IS NOT NULL")
-    known = known.select("w", "candidate", F.lit(0).cast("long").alias("freq"), F.levenshtein("w", "candidate").alias("distance"))
-    both = near.withColumn("phonetic", F.lit(False)).unionByName(alike.withColumn("phonetic", F.lit(True))).unionByName(known.withColumn("phonetic", F.lit(False)))
-    return both.groupBy("w", "candidate").agg(F.max("freq").alias("freq"), F.min("distance").alias("distance"), F.bool_and("phonetic").alias("phonetic"))
+    listed = new.withColumn("candidate", F.try_element_at(fixed, F.col("w"))).where("candidate IS NOT NULL")
+    listed = listed.join(known, "candidate", "left").select("w", "candidate", F.coalesce("freq", F.lit(0).cast("long")).alias("freq"), F.levenshtein("w", "candidate").alias("distance"))
+    order = Window.partitionBy("code").orderBy(F.desc("freq"), "candidate")
+    codes = known.withColumn("code", soundex("candidate")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep)
+    alike = new.withColumn("code", soundex("w")).join(codes, "code").select("w", "candidate", "freq", F.levenshtein("w", "candidate").alias("distance"))
+    both = near.withColumn("tier", F.lit(0)).unionByName(listed.withColumn("tier", F.lit(1))).unionByName(alike.withColumn("tier", F.lit(2)))
+    each = both.groupBy("w", "candidate").agg(F.max("freq").alias("freq"), F.min("distance").alias("distance"), F.min("tier").alias("tier"))
+    first = Window.partitionBy("w").orderBy("tier", F.desc("freq"), "candidate")
+    return each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).select("w", "candidate", "freq", "distance", (F.col("tier") == 2).alias("phonetic"))
 
 
 def _deletions(word: Column, d: int) -> Column:
@@ -134,18 +146,53 @@ def _deletions(word: Column, d: int) -> Column:
     return forms
 
 
-def best_corrections(candidates: DataFrame) -> DataFrame:
+def _base_score(w: str, candidate: str) -> Column:
+    s = 10 * F.ln(F.col("freq") + 1) - 5 * F.col("distance") + 3 * jaccard(char_bigrams(w), char_bigrams(candidate))
+    return s + F.when(F.abs(F.length(w) - F.length(candidate)) <= 1, 2.0).otherwise(0.0) + F.when(F.substring(w, 1, 1) == F.substring(candidate, 1, 1), 3.0).otherwise(0.0)
+
+
+def best_corrections(candidates: DataFrame, context: str | None = None) -> DataFrame:
     """(w, best, score): the candidate of highest score, ties in alphabetical order.
 
-    Score: 10 ln(freq + 1) - 5 distance + 3 overlap of letter pairs + 2 for a length within one + 3 for the same first letter.
+    Score: 10 ln(freq + 1) - 5 distance + 3 overlap of letter pairs + 2 for a length within one + 3 for the same first letter, and 5 for
+    each word of the array column `context` with which the candidate forms one of PAIRS, in either order.
     """
-    s = 10 * F.ln(F.col("freq") + 1) - 5 * F.col("distance") + 3 * jaccard(char_bigrams("w"), char_bigrams("candidate"))
-    s += F.when(F.abs(F.length("w") - F.length("candidate")) <= 1, 2.0).otherwise(0.0) + F.when(F.substring("w", 1, 1) == F.substring("candidate", 1, 1), 3.0).otherwise(0.0)
+    s = _base_score("w", "candidate")
+    if context:
+        s += context_bonus(F.col("candidate"), F.col(context))
     scored = candidates.withColumn("score", F.round(s, 6))
     best = scored.groupBy("w").agg(F.min(F.struct((-F.col("score")).alias("s"), "candidate")).alias("b"))
     return best.select("w", F.col("b.candidate").alias("best"), (-F.col("b.s")).alias("score"))
 
 
+def context_bonus(word: Column, context: Column) -> Column:
+    """5 for each word of an array that forms one of PAIRS with `word`, in either order; 0 for null."""
+    pairs = F.array(*[F.lit(f"{a} {b}") for p in PAIRS for a, b in (p.split(), p.split()[::-1])])
+    hits = F.filter(F.coalesce(context, F.array().cast("array<string>")), lambda c: F.array_contains(pairs, F.concat(word, F.lit(" "), c)))
+    return 5.0 * F.size(hits)
+
+
+def correct_texts(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2) -> DataFrame:
+    """(key, corrected): each text with its words that aren't in the dictionary replaced by their best candidates.
+
+    Words are split at blanks; signs before and after a word stay where they are. The `reach` words on either side are the
+    context. A word without a candidate, and words with other signs inside, stay. Null texts stay null, blanks become single.
+    """
+    words = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.trim(text), "\\s+")).alias("i", "raw"))
+    parts = words.withColumn("w", F.lower(F.regexp_extract("raw", "^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}]*$", 1)))
+    place = Window.partitionBy(key).orderBy("i")
+    near = F.array(*[f("w", k).over(place) for f in (F.lag, F.lead) for k in range(1, reach + 1)])
+    parts = through_table(parts.withColumn("context", F.array_compact(near)), "words-in-place")
+    found = spelling_candidates(parts.select("w"), dictionary)
+    asked = parts.where("w <> ''").select(key, "i", "w", "context").join(found, "w").withColumnRenamed("w", "word").withColumn("w", F.struct(key, "i", "word"))
+    s = _base_score("word", "candidate") + context_bonus(F.col("candidate"), F.col("context"))
+    best = asked.withColumn("s", F.round(s, 6)).groupBy(key, "i").agg(F.min(F.struct((-F.col("s")).alias("s"), "candidate")).alias("b")).select(key, "i", "b.candidate")
+    done = parts.join(best, [key, "i"], "left")
+    new = F.when(F.col("candidate").isNotNull(), F.concat(F.regexp_extract("raw", "^([^\\p{L}\\p{N}]*)", 1), F.col("candidate"), F.regexp_extract("raw", "([^\\p{L}\\p{N}]*)$", 1))).otherwise(F.col("raw"))
+    lines = done.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", new.alias("x")))), lambda x: x["x"]), " ").alias("corrected"))
+    return texts.select(key).join(lines, key, "left")
+
+
 def completions(dictionary: DataFrame, prefix: str, k: int = 10) -> DataFrame:
     """(word, freq) of the k most frequent words that begin with the prefix, ties in alphabetical order; exact."""
     return dictionary.where(F.startswith("word", F.lit(prefix.lower()))).orderBy(F.desc("freq"), "word").limit(k).select("word", "freq")

@@ -6,7 +6,7 @@ import hashlib
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowdex.functions import text as T
@@ -66,11 +66,10 @@ class TextIndex:
 
     @staticmethod
     def build(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> TextIndex:
-        """Write the index of a corpus: one shuffle by document's terms, one by bucket."""
-        each = T.terms(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+        """Write the index of a corpus: one shuffle by document, one by bucket."""
+        each = T.terms(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).repartition("doc_id")
         per = each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        lengths = each.groupBy("doc_id").agg(F.count("*").alias("length"))
-        return TextIndex.of_postings(per.join(lengths, "doc_id"), path)
+        return TextIndex.of_postings(per.withColumn("length", F.sum("tf").over(Window.partitionBy("doc_id"))), path)
 
     @staticmethod
     def of_postings(post: DataFrame, path: str) -> TextIndex:

@@ -17,7 +17,7 @@ def _events(spark, d):
 
 
 def _tokens(spark, d):
-    return DR.drift_tokens(table(spark, d, "documents"), "doc_id", "text", "fetched_at", 90)
+    return DR.drift_tokens(table(spark, d, "documents"), "doc_id", "text", "fetched_at")
 
 
 def drift_windows(spark, d):
@@ -25,49 +25,37 @@ def drift_windows(spark, d):
 
 
 def cooccurrence(spark, d):
-    return DR.cooccurrence(_tokens(spark, d), "doc_id").where("n >= 3")
+    return DR.cooccurrence(_tokens(spark, d), "doc_id")
 
 
 def _drift(spark, d):
-    return DR.term_drift(DR.ppmi(DR.cooccurrence(_tokens(spark, d), "doc_id")))
+    return DR.term_drift(DR.ppmi(_tokens(spark, d), "doc_id"))
 
 
 def term_drift(spark, d):
     return _drift(spark, d)
 
 
-def doc_drift(spark, d):
-    return DR.document_drift(_tokens(spark, d), _drift(spark, d), "doc_id").select("doc_id", F.round("drift", 9).alias("drift"))
+def drift_motion(spark, d):
+    m = DR.drift_motion(through_table(DR.ppmi(_tokens(spark, d), "doc_id"), "ppmi"))
+    return m.select("w", "windows", F.round("velocity", 6).alias("velocity"), F.round("acceleration", 6).alias("acceleration"))
 
 
-def drift_summary(spark, d):
-    return _drift(spark, d).agg(F.count("*").alias("terms"), F.count_if("drifted").alias("drifted"), F.round(F.avg("magnitude"), 4).alias("mean"))
-
-
-def _tokens_30d(spark, d):
-    """Tokens by the operator's own windows of 30 days; the queries without _30d take 90, as their SQL twins do."""
-    return DR.drift_tokens(table(spark, d, "documents"), "doc_id", "text", "fetched_at")
-
+def drift_report(spark, d):
+    """The twenty terms of largest drift."""
+    return DR.drift_report(_drift(spark, d))
 
-def drift_windows_30d(spark, d):
-    return _tokens_30d(spark, d).groupBy("win").agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("w").alias("terms"), F.count("*").alias("tokens"))
 
+def window_centroids(spark, d):
+    return DR.window_centroids(DR.ppmi(_tokens(spark, d), "doc_id")).select("win", "ctx", F.round("mean", 9).alias("mean"))
 
-def cooccurrence_all(spark, d):
-    """All pairs, the rare ones too."""
-    return DR.cooccurrence(_tokens_30d(spark, d), "doc_id")
 
-
-def term_drift_30d(spark, d):
-    return DR.term_drift(DR.ppmi(through_table(cooccurrence_all(spark, d), "pairs")))
-
-
-def doc_drift_30d(spark, d):
-    return DR.document_drift(_tokens_30d(spark, d), term_drift_30d(spark, d), "doc_id").select("doc_id", F.round("drift", 9).alias("drift"))
+def doc_drift(spark, d):
+    return DR.document_drift(_tokens(spark, d), _drift(spark, d), "doc_id").select("doc_id", F.round("drift", 9).alias("drift"))
 
 
-def drift_summary_30d(spark, d):
-    return term_drift_30d(spark, d).agg(F.count("*").alias("terms"), F.count_if("drifted").alias("drifted"), F.round(F.avg("magnitude"), 4).alias("mean"))
+def drift_summary(spark, d):
+    return _drift(spark, d).agg(F.count("*").alias("terms"), F.count_if("drifted").alias("drifted"), F.round(F.avg("magnitude"), 4).alias("mean"))
 
 
 def time_range_agg(spark, d):
@@ -87,14 +75,9 @@ def tumbling_counts(spark, d):
 
 
 def late_events(spark, d):
-    """Events further behind the newest earlier arrival than an hour, per day of arrival order."""
-    e = _events(spark, d).select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.floor(F.col("event_id") / 4096).alias("block"))
-    from pyspark.sql import Window
-
-    top = e.groupBy("block").agg(F.max("us").alias("top"))
-    before = top.select("block", F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("high"))
-    inside = F.max("us").over(Window.partitionBy("block").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
-    return e.withColumn("seen", inside).join(before, "block").withColumn("newest", F.greatest("seen", "high")).where("us < newest - 3600000000").select("event_id")
+    """Frontier entries discovered more than an hour before the newest one that arrived earlier."""
+    e = table(spark, d, "frontier").select("entry_id", F.unix_micros(F.col("discovered_at").cast("timestamp")).alias("us"))
+    return S.late_rows(e, "entry_id", "us", 3_600_000_000).select("entry_id")
 
 
 def rate_limit_hits(spark, d):
@@ -147,7 +130,7 @@ def ltr_linear_score(spark, d):
 
 
 TOKENS = rf"""SELECT doc_id, win, w, pos FROM (SELECT doc_id, win, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
-SELECT doc_id, CAST(floor(epoch_ms(fetched_at) / (90 * 86400000.0)) AS BIGINT) AS win,
+SELECT doc_id, CAST(floor(epoch_ms(fetched_at) / (30 * 86400000.0)) AS BIGINT) AS win,
 list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda w: length(w) > 2 AND w NOT IN ({', '.join(repr(c) for c in DR.COMMON)})) AS ws
 FROM documents WHERE fetched_at IS NOT NULL AND text IS NOT NULL))"""
 CO = f"""WITH tok AS MATERIALIZED ({TOKENS}), co AS MATERIALIZED (SELECT a.win, a.w, b.w AS ctx, count(*) AS n FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) BETWEEN 1 AND 5 AND a.w <> b.w GROUP BY ALL)"""
@@ -163,14 +146,23 @@ POSTED = "SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings
 
 ORACLES = {
     "drift_windows": f"SELECT win, count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS terms, count(*) AS tokens FROM ({TOKENS}) GROUP BY win",
-    "cooccurrence": f"{CO} SELECT * FROM co WHERE n >= 3",
+    "cooccurrence": f"{CO} SELECT * FROM co",
     "term_drift": f"{DRIFT} SELECT *, magnitude > 0.35 AS drifted FROM dr",
     "doc_drift": f"{DRIFT} SELECT doc_id, round(coalesce(avg(magnitude), 0), 9) AS drift FROM tok LEFT JOIN (SELECT * FROM dr WHERE magnitude > 0.35) USING (w) GROUP BY doc_id",
     "drift_summary": f"{DRIFT} SELECT count(*) AS terms, count(*) FILTER (WHERE magnitude > 0.35) AS drifted, round(avg(magnitude), 4) AS mean FROM dr",
+    "drift_report": f"{DRIFT} SELECT CAST(row_number() OVER (ORDER BY magnitude DESC, w) AS INTEGER) AS rank, w, windows, magnitude FROM dr WHERE magnitude > 0.35 QUALIFY rank <= 20",
+    "drift_motion": f"""{DRIFT}, k3 AS (SELECT win, w, CAST(count(*) OVER (PARTITION BY w) AS INTEGER) AS windows, row_number() OVER (PARTITION BY w ORDER BY win DESC) AS k FROM nm),
+ab AS (SELECT w, windows, ctx, coalesce(max(v) FILTER (WHERE k = 1), 0) AS a, coalesce(max(v) FILTER (WHERE k = 2), 0) AS b, coalesce(max(v) FILTER (WHERE k = 3), 0) AS c FROM pp JOIN k3 USING (win, w) WHERE k <= 3 GROUP BY ALL)
+SELECT w, windows, CASE WHEN windows > 1 THEN round(sqrt(sum((a - b) * (a - b))), 6) ELSE 0 END AS velocity, CASE WHEN windows > 2 THEN round(sqrt(sum((a - 2 * b + c) * (a - 2 * b + c))), 6) ELSE 0 END AS acceleration FROM ab GROUP BY w, windows""",
+    "window_centroids": f"{DRIFT} SELECT win, ctx, round(sum(v) / any_value(n), 9) AS mean FROM pp JOIN (SELECT win, count(DISTINCT w) AS n FROM pp GROUP BY win) USING (win) GROUP BY win, ctx",
     "time_range_agg": "SELECT count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'",
     "time_windows": "SELECT epoch_us(s) AS start_us, epoch_us(least(s + INTERVAL 7 DAY, b)) AS end_us FROM (SELECT unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, max(ts)::TIMESTAMP, INTERVAL 7 DAY)) AS s, max(ts) AS b FROM events)",
     "tumbling_counts": "SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "late_events": "SELECT event_id FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE ts < m - INTERVAL 1 HOUR",
+    "late_events": "SELECT entry_id FROM (SELECT entry_id, discovered_at AS ts, max(discovered_at) OVER (ORDER BY entry_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM frontier) WHERE ts < m - INTERVAL 1 HOUR",
+    "rate_limit_hits": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT key, k, t, t AS opened, 1 AS n FROM e WHERE k = 1
+  UNION ALL SELECT e.key, e.k, e.t, CASE WHEN e.t > r.opened + 86400000 THEN e.t ELSE r.opened END, CASE WHEN e.t > r.opened + 86400000 THEN 1 ELSE r.n + 1 END FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)
+SELECT key, count(*) AS hits, count(*) FILTER (WHERE n > 3) AS refused FROM r GROUP BY key""",
     "upsert_latest": f"SELECT user_id, op, event_id FROM ({LATEST})",
     "tombstone_delete": f"SELECT user_id, event_id FROM ({LATEST}) WHERE op <> 'remove' UNION ALL SELECT c_custkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)",
     "main_delta_merge": f"WITH m AS ({POSTED} segment_id < 2 GROUP BY ALL), x AS ({POSTED} segment_id >= 2 GROUP BY ALL) SELECT * FROM x UNION ALL SELECT m.* FROM m ANTI JOIN x USING (term, doc_id)",
@@ -180,4 +172,4 @@ ORACLES = {
     "ltr_pairs": "WITH o AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type AS winner, b.event_type AS loser, count(*) AS n FROM o a JOIN o b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase' GROUP BY ALL",
     "ltr_linear_score": "SELECT id, round(0.15 * coalesce(CASE WHEN isnan(page_rank) THEN 0 ELSE page_rank END, 0) + 0.02 * coalesce(length(content), 0), 6) AS score FROM docs",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "rate_limit_hits", "drift_windows_30d", "cooccurrence_all", "term_drift_30d", "doc_drift_30d", "drift_summary_30d")}
+QUERIES = {k: globals()[k] for k in ORACLES}

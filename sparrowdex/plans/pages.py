@@ -127,11 +127,6 @@ def _links(spark, d):
 
 
 def pagerank(spark, d):
-    return C.page_rank(_links(spark, d), 3).select("node", F.round("rank", 9).alias("rank"))
-
-
-def pagerank_10(spark, d):
-    """Ranks after the operator's own number of rounds; `pagerank` has those after three, as its SQL twin."""
     return C.page_rank(_links(spark, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
@@ -182,7 +177,7 @@ keys AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BI
 owned AS (SELECT o_orderkey, coalesce(p.node, (SELECT arg_min(node, h) FROM places)) AS node FROM keys ASOF LEFT JOIN places p ON kh <= p.h)"""
 PR = f"""WITH e AS (SELECT DISTINCT src, dst FROM (SELECT url AS src, unnest(outgoing_links) AS dst FROM ({PAGES}) WHERE url IS NOT NULL) WHERE src <> dst),
 w AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r0 AS (SELECT node, 1.0::DOUBLE AS rank FROM n)"""
-for _i in range(3):
+for _i in range(10):
     PR += f", r{_i + 1} AS (SELECT n.node, 0.15 + 0.85 * coalesce(g, 0) AS rank FROM n LEFT JOIN (SELECT dst, sum(rank / deg) AS g FROM w JOIN r{_i} ON src = node GROUP BY dst) ON node = dst)"
 
 ORACLES = {
@@ -200,8 +195,8 @@ SELECT * FROM (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC
     "frontier_priority": f"SELECT DISTINCT url, 1 AS depth, 10.0::DOUBLE AS priority FROM (SELECT unnest(outgoing_links) AS url FROM ({PAGES})) WHERE regexp_matches(url, '^https?://') AND url NOT IN (SELECT url FROM docs WHERE url IS NOT NULL)",
     "robots_filter": "SELECT url, domain FROM (SELECT DISTINCT url, domain, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM frontier WHERE url IS NOT NULL AND domain IS NOT NULL) WHERE NOT starts_with(p, '/a/') OR starts_with(p, '/a/b/')",
     "politeness_slots": "SELECT entry_id, domain, slot, CAST(floor(slot / 3) * 1000 AS BIGINT) AS start_ms FROM (SELECT entry_id, coalesce(domain, '') AS domain, row_number() OVER (PARTITION BY coalesce(domain, '') ORDER BY coalesce(priority, 1e308), entry_id) - 1 AS slot FROM frontier)",
-    "pagerank": f"{PR} SELECT node, round(rank, 9) AS rank FROM r3",
+    "pagerank": f"{PR} SELECT node, round(rank, 9) AS rank FROM r10",
     "ring_lookup": f"{LOOKUP} SELECT * FROM owned",
     "ring_balance": f"{LOOKUP}, n AS (SELECT node, count(o_orderkey) AS n FROM (VALUES {', '.join(f'''('{n}')''' for n in NODES)}) v(node) LEFT JOIN owned USING (node) GROUP BY node) SELECT max(n) AS most, min(n) AS least, round(1 - stddev_pop(n) / avg(n), 6) AS balance FROM n",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_flags", "spam_model", "pagerank_10")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_flags", "spam_model")}

@@ -20,25 +20,19 @@ def _dictionary(spark, d):
     return _words(spark, d).where("n >= 5 AND length(w) >= 3").select(F.col("w").alias("word"), F.col("n").alias("freq"))
 
 
-def _misspelt(spark, d):
-    return _words(spark, d).where("n = 1 AND length(w) BETWEEN 5 AND 7").select("w")
-
-
 def spell_candidates(spark, d):
-    return Q.spelling_candidates(_misspelt(spark, d), _dictionary(spark, d))
+    """Candidates for every word outside the dictionary."""
+    return Q.spelling_candidates(_words(spark, d).select("w"), _dictionary(spark, d))
 
 
 def spell_best(spark, d):
     return Q.best_corrections(spell_candidates(spark, d))
 
 
-def spell_candidates_all(spark, d):
-    """Candidates for every word outside the dictionary; `spell_candidates` is the slice that its SQL twin can check."""
-    return Q.spelling_candidates(_words(spark, d).select("w"), _dictionary(spark, d))
-
-
-def spell_best_all(spark, d):
-    return Q.best_corrections(spell_candidates_all(spark, d))
+def correct_titles(spark, d):
+    """The title of every fetched page, corrected by the words of the documents."""
+    titles = table(spark, d, "docs").select(F.xxhash64("title").alias("key"), "title").where("title IS NOT NULL").distinct()
+    return Q.correct_texts(titles, _dictionary(spark, d), "key", "title").join(titles, "key").select("title", "corrected")
 
 
 def soundex_codes(spark, d):
@@ -102,14 +96,15 @@ SOUNDEX = lambda src: f"SELECT *, rpad(upper(w)[1] || CASE WHEN r[1] = c[1] THEN
 GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 2), lambda i: ('^' || {x} || '$')[i:i + 1]))"
 JACC = lambda a, b: f"CAST(len(list_intersect({GRAMS(a)}, {GRAMS(b)})) AS DOUBLE) / len(list_distinct(list_concat({GRAMS(a)}, {GRAMS(b)})))"
 SPELL = f"""WITH words AS ({WORDS}), dict AS (SELECT w, n AS freq FROM words WHERE n >= 5 AND length(w) >= 3),
-bad AS (SELECT w FROM words WHERE n = 1 AND length(w) BETWEEN 5 AND 7 AND w NOT IN (SELECT w FROM dict)),
+bad AS (SELECT w FROM words WHERE length(w) > 0 AND w NOT IN (SELECT w FROM dict)),
 bs AS (SELECT w, code FROM ({SOUNDEX('SELECT w FROM bad')})), ds AS (SELECT w, freq, code FROM ({SOUNDEX('SELECT w, freq FROM dict')})),
 near AS (SELECT * FROM (SELECT bad.w, dict.w AS candidate, freq, levenshtein(bad.w, dict.w) AS distance, min(levenshtein(bad.w, dict.w)) OVER (PARTITION BY bad.w) AS least
   FROM bad, dict WHERE abs(length(bad.w) - length(dict.w)) <= 2 AND levenshtein(bad.w, dict.w) <= 2) WHERE distance = least),
-cands AS (SELECT w, candidate, max(freq) AS freq, CAST(min(distance) AS INTEGER) AS distance, bool_and(phonetic) AS phonetic FROM (
-  SELECT w, candidate, freq, distance, false AS phonetic FROM near
-  UNION ALL SELECT bs.w, ds.w, freq, levenshtein(bs.w, ds.w), true FROM bs JOIN ds USING (code)
-  UNION ALL SELECT w, b, 0, levenshtein(w, b), false FROM bad JOIN (VALUES {MISSES}) m(a, b) ON a = w) GROUP BY w, candidate)"""
+each AS (SELECT w, candidate, max(freq) AS freq, CAST(min(distance) AS INTEGER) AS distance, min(tier) AS tier FROM (
+  SELECT w, candidate, freq, distance, 0 AS tier FROM near
+  UNION ALL SELECT bs.w, ds.w, freq, levenshtein(bs.w, ds.w), 2 FROM bs JOIN ds USING (code)
+  UNION ALL SELECT bad.w, b, coalesce(freq, 0), levenshtein(bad.w, b), 1 FROM bad JOIN (VALUES {MISSES}) m(a, b) ON a = bad.w LEFT JOIN dict ON dict.w = b) GROUP BY w, candidate),
+cands AS (SELECT w, candidate, freq, distance, tier = 2 AS phonetic FROM each QUALIFY row_number() OVER (PARTITION BY w ORDER BY tier, freq DESC, candidate) <= 20)"""
 
 
 def _match(patterns, column):
@@ -137,4 +132,4 @@ WHEN regexp_matches(title, '~[0-9]+') THEN 'fuzzy' ELSE 'natural' END AS kind FR
     "sentence_pieces": SENT,
     "sentence_relevance": f"""SELECT doc_id, i, round(({HIT}) / {len(TERMS)}.0::DOUBLE * 0.7 + 0.3 * CASE WHEN {HIT} >= 2 THEN greatest(0, 1 - (greatest({', '.join(AT)}) - least({', '.join(f'nullif({a}, 0)' for a in AT)}))::DOUBLE / length(sentence)) ELSE 0 END, 6) AS relevance FROM ({SENT})""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr", "spell_candidates_all", "spell_best_all")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr", "correct_titles")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparrowdex.functions.text import query_stems, terms
 from sparrowdex.operators import rank as R
 from sparrowdex.operators import vectors as V
+from sparrowdex.plans.text import BM25, _index
 from sparrowdex.sources.tables import table
 
 
@@ -23,13 +24,7 @@ def cosine_topk(spark, d):
 
 
 def cosine_pairs(spark, d):
-    v = _vectors(spark, d)
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"), F.lit(1).alias("one"))
-    return v.withColumn("one", F.lit(1)).join(F.broadcast(q), "one").select("vec_id", F.round(V.cosine("embedding", "q"), 6).alias("cosine"))
-
-
-def cosine_pairs_all(spark, d):
-    """Cosines with every query vector; `cosine_pairs` has those with the first one, as its SQL twin."""
+    """Cosines of all vectors with every query vector."""
     return V.similarities(_vectors(spark, d), _queries(spark, d)).select("query", "vec_id", F.round("score", 6).alias("cosine"))
 
 
@@ -43,17 +38,9 @@ def label_centroids(spark, d):
 
 
 def hybrid_blend(spark, d):
-    v = _vectors(spark, d)
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"), F.lit(1).alias("one"))
-    dense = v.withColumn("one", F.lit(1)).join(F.broadcast(q), "one").select(F.col("vec_id").alias("doc_id"), V.cosine("embedding", "q").alias("score"))
-    sparse = R.bm25(terms(table(spark, d, "documents")), query_stems("slow search index")).select("doc_id", F.col("bm25").alias("score"))
-    return R.hybrid(sparse, dense).select("doc_id", F.round("hybrid", 6).alias("hybrid"))
-
-
-def hybrid_blend_all(spark, d):
-    """Blended scores for every query vector; `hybrid_blend` has those for the first one, as its SQL twin."""
+    """Blended scores for every query vector, the sparse side being one text query."""
     dense = V.similarities(_vectors(spark, d), _queries(spark, d)).withColumnRenamed("vec_id", "doc_id")
-    sparse = R.bm25(terms(table(spark, d, "documents")), query_stems("slow search index")).select("doc_id", F.col("bm25").alias("score"))
+    sparse = _index(spark, d).ranked(query_stems("slow search index")).select("doc_id", F.col("bm25").alias("score"))
     return R.hybrid_each(sparse, dense).select("query", "doc_id", F.round("hybrid", 6).alias("hybrid"))
 
 
@@ -65,17 +52,15 @@ def text_encode(spark, d):
 
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-from sparrowdex.plans.text import BM25  # noqa: E402
-
 ORACLES = {
     "cosine_topk": f"""SELECT query, vec_id, rank FROM (SELECT a.vec_id AS query, b.vec_id AS vec_id,
 CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS INTEGER) AS rank
 FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 10""",
-    "cosine_pairs": f"SELECT b.vec_id, round({COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id = 0",
+    "cosine_pairs": f"SELECT a.vec_id AS query, b.vec_id, round({COS}, 6) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0",
     "label_centroids": "SELECT label, CAST(i - 1 AS INTEGER) AS i, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY label, i",
-    "hybrid_blend": f"""{BM25}, d AS (SELECT b.vec_id AS doc_id, {COS} AS d FROM embeddings a, embeddings b WHERE a.vec_id = 0),
-m AS (SELECT (SELECT max(d) FROM d) AS md, (SELECT max(bm) FROM raw) AS ms)
-SELECT doc_id, round(0.3 * CASE WHEN md > 0 THEN coalesce(d, 0) / md ELSE 0 END + 0.7 * coalesce(bm, 0) / greatest(1, coalesce(ms, 1)), 6) AS hybrid
-FROM (SELECT doc_id, d, bm FROM d FULL JOIN raw USING (doc_id)), m""",
+    "hybrid_blend": f"""{BM25}, d AS (SELECT a.vec_id AS query, b.vec_id AS doc_id, {COS} AS d FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0),
+m AS (SELECT query, max(d) AS md FROM d GROUP BY query), s AS (SELECT query, doc_id, bm FROM raw, m)
+SELECT query, doc_id, round(0.3 * CASE WHEN md > 0 THEN coalesce(d, 0) / md ELSE 0 END + 0.7 * coalesce(bm, 0) / greatest(1, coalesce((SELECT max(bm) FROM raw), 1)), 6) AS hybrid
+FROM d FULL JOIN s USING (query, doc_id) JOIN m USING (query)""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "ivf_topk", "text_encode", "cosine_pairs_all", "hybrid_blend_all")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "ivf_topk", "text_encode")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,10 +69,28 @@ def tumbling_counts(events: DataFrame, at: str, kind: str, width: str = "1 day",
     return g.select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
+def late_rows(rows: DataFrame, arrival: str, at: str, allowed: int) -> DataFrame:
+    """Rows whose time `at` (a whole number) lies more than `allowed` behind the greatest of all rows that arrived before.
+
+    arrival numbers the rows in their order. Maxima are taken inside blocks of 2 ** 12 arrivals, over the blocks of 2 ** 24, and over
+    those, of which there are few, so no task sees all rows. Null times are never late.
+    """
+    e = rows.withColumn("__b", F.shiftright(F.col(arrival).cast("long"), 12)).withColumn("__c", F.shiftright(F.col(arrival).cast("long"), 24))
+    blocks = e.groupBy("__c", "__b").agg(F.max(at).alias("__top"))
+    wide = blocks.groupBy("__c").agg(F.max("__top").alias("__top"))
+    wide = wide.select("__c", F.max("__top").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))
+    near = blocks.select("__c", "__b", F.max("__top").over(Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__near"))
+    inside = F.max(at).over(Window.partitionBy("__b").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
+    all_ = e.withColumn("__own", inside).join(near, ["__c", "__b"]).join(F.broadcast(wide), "__c")
+    newest = F.greatest("__own", "__near", "__far")
+    return all_.where(F.col(at) < newest - allowed).select(*rows.columns)
+
+
 def rate_limited(hits: DataFrame, key: str, at_ms: str, limit: int = 100, window_ms: int = 1000) -> DataFrame:
     """(key, at, refused) of each hit: a key's first hit opens a window of window_ms, a later hit beyond it the next one;
     hits after the `limit`-th of a window are refused. Hits of a key are taken in order of time, a sorted stream of
-    batches within a task, so a key of very many hits needs no more memory than one batch."""
+    batches within a task, so a key of very many hits needs no more memory than one batch; as a window depends on the one
+    before, one key's hits are taken by one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, opened, count = None, 0, 0
