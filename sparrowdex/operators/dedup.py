@@ -57,20 +57,33 @@ def bands(fp: DataFrame, count: int = 16, key: str = "doc_id") -> DataFrame:
 def near_duplicates(fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
     """(a, b, distance) of different fingerprints at most `most` bits apart, each standing for all documents that have it.
 
-    Equal fingerprints are one row first, so copies aren't paired. With most + 1 bands two such fingerprints share a
-    whole band, so the equi-join on bands finds all of them; the distance is then checked.
+    Equal fingerprints are one row first, so copies aren't paired. The 64 bits are cut into most + 2 blocks, of which two such
+    fingerprints share at least two; so the equi-join on pairs of blocks finds all of them, at about 128 / (most + 2) bits a key.
+    A pair is kept at the first two blocks that it shares only; the distance is checked in the join, so hot keys, which AQE
+    splits, don't write what they meet.
     """
     one = fp.groupBy("fp").agg(F.min(key).alias(key))
-    b = bands(one, most + 1, key)
-    l, r = b.select("band", "value", F.col(key).alias("a"), F.col("fp").alias("fa")), b.select("band", "value", F.col(key).alias("b"), F.col("fp").alias("fb"))
-    d = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))
-    low = F.lit((1 << math.ceil(BITS / (most + 1))) - 1)
-    width = math.ceil(BITS / (most + 1))
-    earlier = F.lit(False)  # a pair is kept in the first band that it shares only
-    for k in range(most):
-        x = F.shiftrightunsigned("fa", k * width).bitwiseAND(low) == F.shiftrightunsigned("fb", k * width).bitwiseAND(low)
-        earlier |= x & (F.col("band") > k)
-    return l.join(r, ["band", "value"]).where((F.col("a") < F.col("b")) & ~earlier).select("a", "b", d.alias("distance")).where(F.col("distance") <= most)
+    cuts = [round(BITS * i / (most + 2)) for i in range(most + 3)]
+    block = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 64 else -1))
+    both = [(i, j) for j in range(most + 2) for i in range(j)]
+    keys = F.array(*[F.struct(F.lit(n).alias("n"), block("fp", i).alias("x"), block("fp", j).alias("y")) for n, (i, j) in enumerate(both)])
+    b = one.select("fp", key, F.explode(keys).alias("k")).select("k.*", "fp", key)
+    l, r = b.select("n", "x", "y", F.col(key).alias("a"), F.col("fp").alias("fa")), b.select("n", "x", "y", F.col(key).alias("b"), F.col("fp").alias("fb"))
+    met = l.join(r, ["n", "x", "y"]).where(F.col("a") < F.col("b")).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most)
+    same = [block("fa", i) == block("fb", i) for i in range(most + 2)]
+    first = F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(both)])
+    return met.where(F.col("n") == first).select("a", "b", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
+
+
+def near_copies(new: DataFrame, known: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key) of new documents whose fingerprint is at most `most` bits from one of `known` (key, fp): copies, edited or not."""
+    asked = fingerprints(new, key, text)
+    both = asked.select("fp", F.lit(1).alias("new")).unionByName(known.select("fp", F.lit(0).alias("new"))).groupBy("fp").agg(F.max("new").alias("asked"), F.min("new").alias("own"))
+    marked = both.select(F.col("fp").alias(key), "fp", "asked", (F.col("own") == 0).alias("known"))
+    pairs = near_duplicates(marked.select(key, "fp"), most, key)
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    hit = ends.join(marked.where("known").select(F.col(key).alias("y")), "y", "left_semi").select("x").union(marked.where("known AND asked = 1").select("fp")).distinct()
+    return asked.join(hit.select(F.col("x").alias("fp")), "fp", "left_semi").select(key)
 
 
 def fingerprint_classes(docs: DataFrame, fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
@@ -110,6 +123,35 @@ def bloom_words(values: DataFrame, column: str, m: int, k: int) -> DataFrame:
     return b.groupBy(F.shiftright("b", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits"))
 
 
+def bloom_union(*filters: DataFrame) -> DataFrame:
+    """(word, bits): the union of filters of one shape."""
+    rows = filters[0]
+    for f in filters[1:]:
+        rows = rows.unionByName(f)
+    return rows.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def bloom_json(words: DataFrame, m: int, k: int) -> DataFrame:
+    """(line): a filter as lines of JSON, a word each, that `bloom_from_json` reads."""
+    return words.select(F.to_json(F.struct(F.lit(m).alias("m"), F.lit(k).alias("k"), "word", "bits")).alias("line"))
+
+
+def bloom_from_json(lines: DataFrame) -> DataFrame:
+    """(word, bits) of lines of JSON."""
+    return lines.select(F.from_json("line", "m long, k int, word long, bits long").alias("w")).select("w.word", "w.bits")
+
+
+def fnv1a(text: Column | str) -> Column:
+    """FNV-1a in 32 bits over the UTF-8 bytes of a text; null stays null."""
+    return _bytes_hash(text, 2166136261, lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _bytes_hash(text: Column | str, seed: int, step) -> Column:
+    hexed = F.hex(F.encode(text, "UTF-8"))
+    data = F.when(F.length(hexed) > 0, F.transform(F.sequence(F.lit(1), F.length(hexed) - 1, F.lit(2)), lambda i: F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return F.when(hexed.isNotNull(), F.aggregate(data, F.lit(seed).cast("long"), step))
+
+
 def maybe_known(values: DataFrame, column: str, words: DataFrame, m: int, k: int) -> DataFrame:
     """Rows of `values` all of whose bits are set: a superset of those added. Null values are never known."""
     asked = values.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.explode(bloom_positions(F.col(column), m, k)).alias("b"))
