@@ -118,3 +118,18 @@ def range_aggregate(rows: DataFrame, at: str, start: str, end: str) -> DataFrame
     """One row over times start..end, both included: (last, n, total); an empty range gives null, 0, 0."""
     r = rows.where(F.col(at).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
     return r.agg(F.max(at).alias("last"), F.count("*").alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+
+
+def lower_bound(rows: DataFrame, at: str, times: list[str]) -> DataFrame:
+    """(t, idx): how many rows lie before each of a few times, so the place of the first at or after it, the last row's at most."""
+    marks = rows.sparkSession.createDataFrame([(t,) for t in times], "t string").select(F.col("t").cast("timestamp").alias("t"))
+    n = rows.where(F.col(at).isNotNull()).agg(*[F.count_if(F.col(at) < F.lit(t).cast("timestamp")).alias(f"c{i}") for i, t in enumerate(times)], F.count("*").alias("n"))
+    each = n.select("n", F.explode(F.array(*[F.struct(F.lit(t).cast("timestamp").alias("t"), F.col(f"c{i}").alias("c")) for i, t in enumerate(times)])).alias("x"))
+    return marks.join(each.select("x.t", F.greatest(F.lit(0), F.least(F.col("x.c"), F.col("n") - 1)).alias("idx")), "t")
+
+
+def range_vector(rows: DataFrame, at: str, start: str, end: str, vector: str = "vector", count: str = "n") -> DataFrame:
+    """(i, mean): the mean of vectors over a range of times, weighted by their counts; null vectors don't count."""
+    r = rows.where(F.col(at).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))).where(F.col(vector).isNotNull())
+    each = r.select(F.col(count).cast("double").alias("c"), F.posexplode(vector).alias("i", "x"))
+    return each.groupBy("i").agg((F.sum(F.col("x").cast("double") * F.col("c")) / F.sum("c")).alias("mean"))

@@ -96,6 +96,12 @@ def matching(post: DataFrame, term: str, key: str = "doc_id") -> DataFrame:
     return post.where(F.col("term") == term).select(key, "tf", "positions")
 
 
+def seek(post: DataFrame, term: str, target: int, key: str = "doc_id") -> DataFrame:
+    """(key, tf): a term's first posting at or after a document id; none if there isn't one."""
+    first = post.where((F.col("term") == term) & (F.col(key) >= target)).agg(F.min(F.struct(key, "tf")).alias("p"))
+    return first.where("p IS NOT NULL").select(f"p.{key}", "p.tf")
+
+
 def all_of(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents of both lists: tf added, positions joined."""
     return a.alias("a").join(b.alias("b"), key).select(key, (F.col("a.tf") + F.col("b.tf")).alias("tf"), F.concat("a.positions", "b.positions").alias("positions"))

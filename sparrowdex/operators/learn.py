@@ -37,3 +37,20 @@ def fit_ranker(features: DataFrame, target: str, columns: list[str], trees: int
     from pyspark.ml.regression import GBTRegressor
 
     return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x", handleInvalid="skip"), GBTRegressor(featuresCol="x", labelCol=target, maxIter=trees, maxDepth=4, seed=7)]).fit(features)
+
+
+def feature_importance(spark, weights: dict[str, float] | None = None) -> DataFrame:
+    """(rank, feature, importance) of the linear score's weights, largest first, ties by name."""
+    rows = sorted((weights or WEIGHTS).items(), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame([(i + 1, k, float(v)) for i, (k, v) in enumerate(rows)], "rank int, feature string, importance double")
+
+
+def updated_weights(pairs: DataFrame, columns: list[str], weights: dict[str, float] | None = None, rate: float = 0.01) -> dict[str, float]:
+    """Weights after one step along the pairs (w_<column>, l_<column> of winner and loser): each pair moves them by its gradient times the
+    difference of its features. One aggregate over all pairs; null features count 0."""
+    w = dict(weights or WEIGHTS)
+    of = lambda side: sum((F.lit(w.get(c, 0.0)) * F.coalesce(F.col(f"{side}_{c}").cast("double"), F.lit(0.0)) for c in columns), F.lit(0.0))
+    graded = gradients(pairs.withColumn("score_winner", of("w")).withColumn("score_loser", of("l")))
+    step = [F.avg(F.col("lambda") * (F.coalesce(F.col(f"w_{c}").cast("double"), F.lit(0.0)) - F.coalesce(F.col(f"l_{c}").cast("double"), F.lit(0.0)))).alias(c) for c in columns]
+    r = graded.agg(*step).first()
+    return w | {c: w.get(c, 0.0) + rate * (r[c] or 0.0) for c in columns}

@@ -80,6 +80,14 @@ def flagged(features: DataFrame, key: str = "id") -> DataFrame:
     return features.select(key, F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in FLAGS])).alias("flags"))
 
 
+def spam_score(features: DataFrame) -> DataFrame:
+    """Adds `spam`, from 0 to 1: the share of FLAGS that the features exceed, in full from a third of them. Features that aren't there count as
+    not exceeded."""
+    rules = [rule for _, rule in FLAGS if rule.split()[0] in features.columns]
+    hits = sum((F.coalesce(F.expr(rule), F.lit(False)).cast("int") for rule in rules), F.lit(0))
+    return features.withColumn("spam", F.least(F.lit(1.0), hits / F.lit(len(FLAGS) / 3)))
+
+
 def fit_quality_model(features: DataFrame, labels: DataFrame, sample: int = 5000, key: str = "id"):
     """Boosted trees over the features, fitted to at most `sample` labelled pages (verdict spam or ok), those of least hash."""
     from pyspark.ml import Pipeline

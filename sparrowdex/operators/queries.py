@@ -17,6 +17,14 @@ TRANSACTIONAL = (
     "\\b(buy|purchase|order|shop|price|cost|discount|deal)\\b", "\\b(download|install|get|subscribe|register)\\b", "\\b(hotel|flight|booking|reservation|ticket)\\b",
     "\\b(near\\s+me|best|top|cheap|affordable)\\b", "\\b(how\\s+to|tutorial|guide|course|learn)\\b",
 )
+#: A second, broader set of intents.
+NAVIGATIONAL_BROAD = ("^(login|signin|signup|register)\\b", "\\b(website|official|site|homepage|home page)\\b", "[.](com|org|net|io|gov)\\b", "\\b(facebook|twitter|youtube|instagram|linkedin|github)\\b")
+TRANSACTIONAL_BROAD = (
+    "\\b(buy|purchase|order|shop|price|cost|discount|deal)\\b", "\\b(download|install|get|subscribe)\\b", "\\b(hotel|flight|booking|reservation|ticket)\\b",
+    "\\b(how\\s+to|tutorial|guide|course|learn)\\b", "\\b(near\\s+me|best|top|cheap|affordable)\\b",
+)
+#: What an intent found by rules is held for; the others share the rest.
+CONFIDENCE = 0.85
 ENTITIES = {
     "product": "iphone|macbook|airpods|ipad|samsung|nike|adidas",
     "location": "new york|los angeles|london|paris|tokyo|berlin|sydney",
@@ -42,11 +50,17 @@ def query_type(q: Column | str) -> Column:
     return F.when(c.rlike(r"\b(AND|OR|NOT)\b"), "boolean").when(c.rlike('"[^"]*"'), "phrase").when(c.rlike("~[0-9]+"), "fuzzy").otherwise("natural")
 
 
-def intent(q: Column | str) -> Column:
+def intent(q: Column | str, navigational: tuple = NAVIGATIONAL, transactional: tuple = TRANSACTIONAL) -> Column:
     """navigational, transactional or informational, by the first pattern that matches. Null is informational."""
     c = F.lower(F.coalesce(F.col(q) if isinstance(q, str) else q, F.lit("")))
     any_of = lambda ps: reduce(lambda a, b: a | b, [c.rlike(p) for p in ps])
-    return F.when(any_of(NAVIGATIONAL), "navigational").when(any_of(TRANSACTIONAL), "transactional").otherwise("informational")
+    return F.when(any_of(navigational), "navigational").when(any_of(transactional), "transactional").otherwise("informational")
+
+
+def intent_scores(q: Column | str) -> Column:
+    """Map of each intent to its score: CONFIDENCE for the one found, half of the rest for the others."""
+    found = intent(q)
+    return F.create_map(*[x for i in ("navigational", "informational", "transactional") for x in (F.lit(i), F.when(found == i, CONFIDENCE).otherwise((1 - CONFIDENCE) / 2))])
 
 
 def entities(q: Column | str) -> Column:
@@ -198,6 +212,18 @@ def completions(dictionary: DataFrame, prefix: str, k: int = 10) -> DataFrame:
     return dictionary.where(F.startswith("word", F.lit(prefix.lower()))).orderBy(F.desc("freq"), "word").limit(k).select("word", "freq")
 
 
+def next_letters(dictionary: DataFrame) -> DataFrame:
+    """(pair, letter, n): after each pair of letters of the dictionary's words, how often which letter follows, by the words' frequency."""
+    at = F.explode(F.sequence(F.lit(1), F.length("word") - 2)).alias("i")
+    each = dictionary.where("length(word) > 2").select("word", "freq", at)
+    return each.groupBy(F.substring("word", F.col("i"), F.lit(2)).alias("pair"), F.substring("word", F.col("i") + 2, F.lit(1)).alias("letter")).agg(F.sum("freq").alias("n"))
+
+
+def without_words(dictionary: DataFrame, words: DataFrame) -> DataFrame:
+    """The dictionary without the words (word) to be deleted; null ones delete nothing."""
+    return dictionary.join(words.select(F.lower("word").alias("word")).where("word IS NOT NULL"), "word", "left_anti")
+
+
 def suggestions(dictionary: DataFrame, query: str, k: int = 5) -> DataFrame:
     """(suggestion, freq): the query with its last word completed."""
     head, _, last = query.lower().rpartition(" ")

@@ -88,6 +88,12 @@ def keyword_density(text: Column, stems: list[str], length: Column) -> Column:
     return s / F.lit(max(1, len(stems)))
 
 
+def matched_terms(text: Column, terms: list[str]) -> Column:
+    """Those of the terms that stand in the lower-cased text, in their order, each once; null texts have none."""
+    known = F.array(*[F.lit(t) for t in dict.fromkeys(terms)]) if terms else F.array().cast("array<string>")
+    return F.filter(known, lambda t: F.coalesce(F.contains(F.lower(text), t), F.lit(False)))
+
+
 def composite(f: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Adds `score` to rows with bm25, page_rank (0 to 1), freshness, authority, exact, title, spam and density.
 

@@ -94,3 +94,9 @@ def with_snippet(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
         return texts.map(lambda t: snippet(t, terms))
 
     return docs.withColumn("snippet", make(text))
+
+
+def with_dated_snippet(docs: DataFrame, query: str, text: str = "text", at: str = "at") -> DataFrame:
+    """As `with_snippet`, with the date before it, like Jan 5, 2025; a null date gives the snippet alone."""
+    made = with_snippet(docs, query, text)
+    return made.withColumn("snippet", F.concat(F.coalesce(F.concat(F.date_format(at, "MMM d, yyyy"), F.lit(" — ")), F.lit("")), F.coalesce("snippet", F.lit(""))))

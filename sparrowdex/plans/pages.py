@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparrowdex.functions.dialect import DUCK, SPARK, apply_steps, sql_steps
-from sparrowdex.functions.text import query_stems, readability_steps, terms, terms_sql
+from sparrowdex.functions.text import query_stems, readability_steps, terms_sql
 from sparrowdex.operators import crawl as C
 from sparrowdex.operators import quality as QL
 from sparrowdex.operators import rank as R
+from sparrowdex.engine import SearchEngine
 from sparrowdex.operators.index import latest_changes
+from sparrowdex.operators.store import TextIndex, exists, fingerprint
+from sparrowdex.session import shared_dir, through_table
 from sparrowdex.sources.tables import table
 
 NOW = "2026-06-01 00:00:00"
@@ -45,10 +48,20 @@ def freshness_decay(spark, d):
     return _pages(spark, d).select("id", F.round(R.freshness("crawled_at", NOW, 365.0), 6).alias("freshness"))
 
 
+def _with_headers(spark, d):
+    """The latest fetch of each page with its headers, which as maps have no order and are carried as text."""
+    docs = table(spark, d, "docs").where("crawled_at IS NOT NULL").select("id", "crawled_at", "is_removed", "title", "content", "url", "domain", "outgoing_links", F.to_json("headers").alias("headers"))
+    return latest_changes(docs, "id", "crawled_at").where("NOT is_removed").withColumn("headers", F.from_json("headers", "map<string,string>"))
+
+
+def _index(spark, d):
+    p = _pages(spark, d).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "title", "title", "content").alias("text"))
+    return TextIndex.of(spark, f"{d}/docs.parquet", p, "pages-index")
+
+
 def _features(spark, d):
     p = _pages(spark, d)
-    t = terms(p.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "title", "title", "content").alias("text")))
-    b = R.bm25(t, STEMS)
+    b = _index(spark, d).ranked(STEMS)
     low, title = F.lower(F.concat_ws(" ", "title", "content")), F.lower(F.coalesce("title", F.lit("")))
     f = b.join(p, b.doc_id == p.id)
     hit = F.lit(False)
@@ -82,14 +95,13 @@ def link_farm(spark, d):
 
 
 def spam_flags(spark, d):
-    p = _pages(spark, d).withColumn("headers", F.create_map().cast("map<string,string>"))
+    p = _with_headers(spark, d)
     f = QL.quality_features(p).join(apply_steps(p.select("id", "content"), readability_steps(SPARK, "content", 0.5)).select("id", "readability"), "id")
     return QL.flagged(f).select("id", F.array_join("flags", "; ").alias("flags"))
 
 
 def spam_model(spark, d):
-    p = _pages(spark, d).withColumn("headers", F.create_map().cast("map<string,string>"))
-    f = QL.quality_features(p)
+    f = through_table(QL.quality_features(_with_headers(spark, d)), "quality")
     return QL.fit_quality_model(f, table(spark, d, "page_labels")).transform(f).select("id", F.col("prediction").cast("int").alias("spam"))
 
 
@@ -130,6 +142,43 @@ def pagerank(spark, d):
     return C.page_rank(_links(spark, d)).select("node", F.round("rank", 9).alias("rank"))
 
 
+def matched_terms(spark, d):
+    """Which of a query's terms each page holds."""
+    p = _pages(spark, d).select("id", R.matched_terms(F.concat_ws(" ", "title", "content"), STEMS).alias("m"))
+    return p.where("size(m) > 0").select("id", F.array_join("m", " ").alias("matched"))
+
+
+def crawl_documents(spark, d):
+    """A crawl through the pages from the front pages of each site, two links deep."""
+    p = _pages(spark, d).where("url IS NOT NULL").select(F.trim("url").alias("url"), F.concat(F.lit("<title>"), F.coalesce("title", F.lit("")), F.lit("</title><p>"), F.coalesce("content", F.lit(""))).alias("body"), F.col("outgoing_links").alias("links"))
+    seeds = p.groupBy(F.expr("try_parse_url(url, 'HOST')").alias("h")).agg(F.min("url").alias("url")).select("url")
+    documents, _ = C.crawl(p, seeds, 1 << 40, 2, 1 << 16)
+    return documents.select("url", "title", "crawl_depth", F.length("content").alias("length"))
+
+
+def search_page(spark, d):
+    """A page of results of the whole pipeline: correction, rank, blend, drift, spam, snippets."""
+    docs = _with_headers(spark, d).join(_pages(spark, d).select("id", "page_rank"), "id").withColumnRenamed("crawled_at", "at").withColumnRenamed("outgoing_links", "links")
+    path = f"{shared_dir(spark).rstrip('/')}/engine-{fingerprint(spark, f'{d}/docs.parquet')}"
+    labels = table(spark, d, "page_labels").withColumnRenamed("id", "doc_id")
+    engine = SearchEngine(docs, path, NOW, "id", labels)
+    if not exists(spark, f"{path}/dictionary/_SUCCESS"):
+        engine.rebuild()
+    return engine.search("slow serch index").select("doc_id", "rank", F.round("score", 6).alias("score"), "title", "snippet", F.array_join("matched", " ").alias("matched"))
+
+
+def ring_replicas(spark, d):
+    return C.ring_replicas(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", C.ring(spark, NODES), 3).select("o_orderkey", F.array_join("nodes", ",").alias("nodes"))
+
+
+def ring_moved(spark, d):
+    """How many keys another node owns after one has left."""
+    places = C.ring(spark, NODES)
+    k = table(spark, d, "orders").select("o_orderkey")
+    a, b = C.ring_lookup(k, "o_orderkey", places), C.ring_lookup(k, "o_orderkey", C.ring_without(places, NODES[3])).withColumnRenamed("node", "later")
+    return a.join(b, "o_orderkey").groupBy("node", "later").agg(F.count("*").alias("n"))
+
+
 NODES = ["node-a", "node-b", "node-c", "node-d"]
 
 
@@ -180,7 +229,22 @@ w AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM e), n AS (SE
 for _i in range(10):
     PR += f", r{_i + 1} AS (SELECT n.node, 0.15 + 0.85 * coalesce(g, 0) AS rank FROM n LEFT JOIN (SELECT dst, sum(rank / deg) AS g FROM w JOIN r{_i} ON src = node GROUP BY dst) ON node = dst)"
 
+FLAG = {"keyword stuffing": "stuffing > 0.3", "high link density": "link_density > 0.1", "link farm patterns": "link_farm > 0.5", "low readability": "readability < 0.2",
+    "excessive word repetition": "repeated > 0.5", "low domain reputation": "reputation < 0.2", "suspicious TLD": "credibility < 0.2", "excessive external links": "external_links > 0.8",
+    "excessive scripts": "scripts > 0.5", "low content-to-HTML ratio": "content_ratio < 0.3", "excessive capitalization": "uppercase > 0.3", "excessive numbers": "digits > 0.2"}
+FLAGS = f"""WITH pages AS ({PAGES}), qf AS ({QF.replace('SRC', 'pages')}), fa AS ({FARM.replace('SRC', "(SELECT id, coalesce(domain, '') AS domain, coalesce(outgoing_links, []::VARCHAR[]) AS outgoing_links FROM pages)")}),
+re AS (SELECT id, readability FROM ({sql_steps('SELECT id, content FROM pages', readability_steps(DUCK, 'content', 0.5))})),
+ot AS (SELECT id, len(regexp_extract_all(t, '(?i)<script')) * 100.0 / greatest(1, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> ''))) AS scripts, length(t) / greatest(1, coalesce(TRY_CAST(hl AS INTEGER), length(t)))::DOUBLE AS content_ratio
+  FROM (SELECT id, coalesce(content, '') AS t, headers['content-length'] AS hl FROM pages)),
+allf AS (SELECT qf.*, fa.score AS link_farm, readability, scripts, content_ratio FROM qf JOIN fa USING (id) JOIN re USING (id) JOIN ot USING (id))
+SELECT id, concat_ws('; ', {', '.join(f"CASE WHEN {r} THEN '{n}' END" for n, r in FLAG.items())}) AS flags FROM allf"""
+REPL = "SELECT o_orderkey, string_agg(node, ',' ORDER BY d) AS nodes FROM (SELECT o_orderkey, node, d FROM (SELECT o_orderkey, node, min((h - kh + 4294967296) % 4294967296) AS d FROM keys, places GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY d) <= 3) GROUP BY o_orderkey"
+
 ORACLES = {
+    "spam_flags": FLAGS,
+    "matched_terms": f"SELECT id, concat_ws(' ', {', '.join(f"CASE WHEN contains(low, '{s}') THEN '{s}' END" for s in STEMS)}) AS matched FROM (SELECT id, lower(concat_ws(' ', title, content)) AS low FROM ({PAGES})) WHERE {' OR '.join(f"contains(low, '{s}')" for s in STEMS)}",
+    "ring_replicas": f"{LOOKUP} {REPL}",
+    "ring_moved": f"{LOOKUP}, later AS (SELECT o_orderkey, coalesce(p.node, (SELECT arg_min(node, h) FROM places WHERE node <> '{NODES[3]}')) AS later FROM keys ASOF LEFT JOIN (SELECT * FROM places WHERE node <> '{NODES[3]}') p ON kh <= p.h) SELECT node, later, count(*) AS n FROM owned JOIN later USING (o_orderkey) GROUP BY ALL",
     "domain_authority": f"SELECT domain, round({AUTH}, 6) AS authority FROM ({DOMS})",
     "domain_reputation": f"SELECT domain, round({REPU}, 6) AS reputation FROM ({DOMS})",
     "tld_credibility": f"SELECT domain, {CRED} AS credibility FROM ({DOMS})",
@@ -199,4 +263,4 @@ SELECT * FROM (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC
     "ring_lookup": f"{LOOKUP} SELECT * FROM owned",
     "ring_balance": f"{LOOKUP}, n AS (SELECT node, count(o_orderkey) AS n FROM (VALUES {', '.join(f'''('{n}')''' for n in NODES)}) v(node) LEFT JOIN owned USING (node) GROUP BY node) SELECT max(n) AS most, min(n) AS least, round(1 - stddev_pop(n) / avg(n), 6) AS balance FROM n",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_flags", "spam_model")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "spam_model", "crawl_documents", "search_page")}
