@@ -108,10 +108,12 @@ class SearchEngine:
         return self.index
 
     def corrected(self, query: str) -> str:
-        """The query with its unknown words corrected in context; operators, quotes and word~n stay."""
+        """The query with its unknown words corrected in context; one with operators, quotes or word~n stays as it is."""
+        if any(w in ("AND", "OR", "NOT") for w in query.split()) or '"' in query or Q.parse_fuzzy(query):
+            return query
         row = self.spark.createDataFrame([(0, query)], "doc_id int, text string")
-        out = Q.correct_texts(row, self.dictionary(), "doc_id", "text").first().corrected
-        return query if Q.parse_fuzzy(query) or out is None else out
+        common = self.spark.createDataFrame([(w, 1) for w in T.STOP_WORDS], "word string, freq long")
+        return Q.correct_texts(row, self.dictionary().unionByName(common), "doc_id", "text").first().corrected
 
     def candidates(self, query: str) -> tuple[DataFrame, list[str]]:
         """(scores by BM25 of documents that the query lets pass, stems): quoted phrases, AND / OR / NOT, word~n, or any term."""

@@ -2,40 +2,43 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sparrowdex.functions.text import STOP_WORDS, normalize_text, stem_words
+from sparrowdex.functions.text import STOP_WORDS, _accents, stem_words
 from sparrowdex.operators.dedup import simhash
 
 
-@F.pandas_udf("string")
-def stem(words: pd.Series) -> pd.Series:
-    """The stem of a lower-case word; null stays null."""
-    known = {w: s for w, s in zip(u, stem_words(u))} if (u := [w for w in words.unique() if w is not None]) else {}
-    return words.map(known)
-
-
-@F.pandas_udf("long")
-def simhash64(texts: pd.Series) -> pd.Series:
-    """The fingerprint of a text; null below three words."""
-    return pd.Series([simhash(t) for t in texts], dtype="Int64")
+PLAIN, MARKS, OTHER = str.maketrans(*_accents()), re.compile("[\u0300-\u036f]"), re.compile(r"[^a-z0-9_\s'-]", re.A)
 
 
 class Tokens:
     """(pos, token, term) of a text's kept words; null and empty texts have none."""
 
     def eval(self, text: str | None) -> Iterator[tuple[int, str, str]]:
-        for i, w in enumerate(normalize_text(text or "").split()):
+        bare = MARKS.sub("", (text or "").lower()).translate(PLAIN)
+        for i, w in enumerate(OTHER.sub(" ", bare).split()):
             if len(w) >= 2 and w not in STOP_WORDS:
                 yield i, w, stem_words([w])[0]
 
 
 def register(spark: SparkSession) -> None:
-    """Make stem, simhash64 and phonetic known as SQL functions, and text_tokens as a table function."""
+    """Make stem (of a lower-case word), simhash64 (of a text, null below three words) and phonetic (of a word) known as SQL functions,
+    and text_tokens as a table function. Null gives null, for text_tokens no rows."""
+
+    @F.pandas_udf("string")
+    def stem(words: pd.Series) -> pd.Series:
+        distinct = [w for w in words.unique() if w is not None]
+        return words.map(dict(zip(distinct, stem_words(distinct))))
+
+    @F.pandas_udf("long")
+    def simhash64(texts: pd.Series) -> pd.Series:
+        return pd.Series([simhash(t) for t in texts], dtype="Int64")
+
     spark.udf.register("stem", stem)
     spark.udf.register("simhash64", simhash64)
     spark.udtf.register("text_tokens", F.udtf(Tokens, returnType="pos int, token string, term string"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 64
+BITS, PAIRED = 64, 12
 
 
 def simhash(text: str | None) -> int | None:
@@ -59,18 +59,20 @@ def near_duplicates(fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFr
 
     Equal fingerprints are one row first, so copies aren't paired. The 64 bits are cut into most + 2 blocks, of which two such
     fingerprints share at least two; so the equi-join on pairs of blocks finds all of them, at about 128 / (most + 2) bits a key.
-    A pair is kept at the first two blocks that it shares only; the distance is checked in the join, so hot keys, which AQE
+    (With more than PAIRED bits pairs of blocks are too many, and single ones of most + 1 are used.)
+    A pair is kept at the first key that it shares only; the distance is checked in the join, so hot keys, which AQE
     splits, don't write what they meet.
     """
     one = fp.groupBy("fp").agg(F.min(key).alias(key))
-    cuts = [round(BITS * i / (most + 2)) for i in range(most + 3)]
+    blocks = most + 2 if most <= PAIRED else most + 1
+    cuts = [round(BITS * i / blocks) for i in range(blocks + 1)]
     block = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 64 else -1))
-    both = [(i, j) for j in range(most + 2) for i in range(j)]
+    both = [(i, j) for j in range(blocks) for i in range(j)] if most <= PAIRED else [(i, i) for i in range(blocks)]
     keys = F.array(*[F.struct(F.lit(n).alias("n"), block("fp", i).alias("x"), block("fp", j).alias("y")) for n, (i, j) in enumerate(both)])
     b = one.select("fp", key, F.explode(keys).alias("k")).select("k.*", "fp", key)
     l, r = b.select("n", "x", "y", F.col(key).alias("a"), F.col("fp").alias("fa")), b.select("n", "x", "y", F.col(key).alias("b"), F.col("fp").alias("fb"))
     met = l.join(r, ["n", "x", "y"]).where(F.col("a") < F.col("b")).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most)
-    same = [block("fa", i) == block("fb", i) for i in range(most + 2)]
+    same = [block("fa", i) == block("fb", i) for i in range(blocks)]
     first = F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(both)])
     return met.where(F.col("n") == first).select("a", "b", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
 

@@ -190,10 +190,10 @@ def correct_texts(texts: DataFrame, dictionary: DataFrame, key: str = "doc_id",
     """(key, corrected): each text with its words that aren't in the dictionary replaced by their best candidates.
 
     Words are split at blanks; signs before and after a word stay where they are. The `reach` words on either side are the
-    context. A word without a candidate, and words with other signs inside, stay. Null texts stay null, blanks become single.
+    context. A word without a candidate, words of less than three letters, and those with digits or other signs inside, stay. Null texts stay null, blanks become single.
     """
     words = texts.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(F.trim(text), "\\s+")).alias("i", "raw"))
-    parts = words.withColumn("w", F.lower(F.regexp_extract("raw", "^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}]*$", 1)))
+    parts = words.withColumn("w", F.lower(F.regexp_extract("raw", "^[^\\p{L}\\p{N}]*(\\p{L}{3,})[^\\p{L}\\p{N}]*$", 1)))
     place = Window.partitionBy(key).orderBy("i")
     near = F.array(*[f("w", k).over(place) for f in (F.lag, F.lead) for k in range(1, reach + 1)])
     parts = through_table(parts.withColumn("context", F.array_compact(near)), "words-in-place")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from sparrowdex.operators import drift as DR
 from sparrowdex.operators import index as I
 from sparrowdex.operators import learn as L
+from sparrowdex.operators import rank as R
+from sparrowdex.operators.vectors import merged_vectors
+from sparrowdex.plans.pages import RANKED, STEMS, _features, _index, _pages
 from sparrowdex.session import through_table
 from sparrowdex.sources.tables import table
 from sparrowdex.streaming import changes as S
@@ -63,6 +66,27 @@ def time_range_agg(spark, d):
     return DR.range_aggregate(e, "ts", "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("n", F.round("total", 4).alias("total"))
 
 
+MARKS = ["2024-01-03 00:00:00", "2024-01-15 12:00:00", "2030-01-01 00:00:00"]
+
+
+def time_lower_bound(spark, d):
+    """The place of a few times among the events."""
+    return DR.lower_bound(_events(spark, d).select(F.col("ts").cast("timestamp").alias("ts")), "ts", MARKS).select(F.unix_micros("t").alias("t_us"), "idx")
+
+
+def range_vector(spark, d):
+    """Mean vector over a range of times, the ids of vectors being their days."""
+    v = table(spark, d, "embeddings").select(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(vec_id % 365 as int))").alias("at"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 + 1).alias("n"))
+    return DR.range_vector(v, "at", "2024-02-01 00:00:00", "2024-03-01 00:00:00").select("i", F.round("mean", 6).alias("mean"))
+
+
+def merged_means(spark, d):
+    """Two vectors of each label merged by their counts."""
+    v = table(spark, d, "embeddings")
+    g = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("a"), F.max_by("embedding", "vec_id").alias("b"), F.min("vec_id").alias("n"), F.max("vec_id").alias("m"))
+    return g.select("label", F.posexplode(merged_vectors("a", "b", "n", "m")).alias("i", "x")).select("label", "i", F.round("x", 6).alias("x"))
+
+
 def time_windows(spark, d):
     r = _events(spark, d).agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
     w = r.select("b", F.explode(F.expr("sequence(date_trunc('day', a), b, interval 7 days)")).alias("start"))
@@ -118,15 +142,58 @@ def set_except(spark, d):
     return table(spark, d, "docs").select("id").subtract(table(spark, d, "page_labels").select("id"))
 
 
+def _clicks(spark, d):
+    """Results shown to users, and whether they were bought: the part is the user's choice among those looked at."""
+    return _events(spark, d).where("event_id IS NOT NULL").select("user_id", (F.col("event_id") % 97).alias("item"), (F.col("event_type") == "purchase").alias("good"))
+
+
 def ltr_pairs(spark, d):
-    e = _events(spark, d).select("user_id", "event_type", (F.col("event_type") == "purchase").alias("good"))
-    p = L.preference_pairs(e, "user_id", "event_type", "good")
+    p = L.preference_pairs(_clicks(spark, d), "user_id", "item", "good")
     return p.groupBy("winner", "loser").agg(F.count("*").alias("n"))
 
 
+def _ltr_features(spark, d):
+    """All features of the linear score for a query's pages; clicks and dwell aren't in the data."""
+    f = _features(spark, d).join(_index(spark, d).ranked(STEMS).select("doc_id", "tf_idf", "length"), "doc_id")
+    return f.select("doc_id", "tf_idf", "bm25", "page_rank", "freshness", "authority", (F.least(F.lit(1.0), F.col("length") / 1000)).alias("length"), "density", F.lit(0.0).alias("dwell"), F.lit(0.0).alias("clicks"), "exact", "title")
+
+
 def ltr_linear_score(spark, d):
-    f = table(spark, d, "docs").select("id", F.coalesce(F.nanvl("page_rank", F.lit(0.0)), F.lit(0.0)).alias("page_rank"), F.length("content").alias("length"))
-    return L.linear_score(f).select("id", F.round("score", 6).alias("score"))
+    return L.linear_score(_ltr_features(spark, d)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def ltr_model(spark, d):
+    """Boosted trees fitted to the pages' composite score, and what they say of each."""
+    f = _ltr_features(spark, d).join(R.composite(_features(spark, d)).select("doc_id", F.col("score").alias("target")), "doc_id")
+    f = through_table(f, "ranker-features")
+    return L.fit_ranker(f, "target", list(L.WEIGHTS)).transform(f).select("doc_id", F.round("prediction", 6).alias("score"))
+
+
+def ltr_blend(spark, d):
+    """Composite scores blended with linear ones where there are such."""
+    results, other = R.composite(_features(spark, d)).select("doc_id", "score"), L.linear_score(_ltr_features(spark, d).where("exact = 0")).select("doc_id", "score")
+    return R.blended(results, other).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def ltr_updated(spark, d):
+    """The linear score's weights after a step along all pairs of a purchased and another item of a user."""
+    items = _events(spark, d).groupBy((F.col("event_id") % 97).alias("item")).agg(F.avg("value").alias("dwell"), F.count("*").alias("clicks"))
+    p = L.preference_pairs(_clicks(spark, d), "user_id", "item", "good")
+    side = lambda x, on: items.select(F.col("item").alias(on), *[F.col(c).alias(f"{x}_{c}") for c in ("dwell", "clicks")])
+    w = L.updated_weights(p.join(F.broadcast(side("w", "winner")), "winner").join(F.broadcast(side("l", "loser")), "loser"), ["dwell", "clicks"], rate=1e-4)
+    return spark.createDataFrame([(k, round(w[k], 6)) for k in ("dwell", "clicks")], "feature string, weight double")
+
+
+def feature_importance(spark, d):
+    return L.feature_importance(spark)
+
+
+def drift_reranked(spark, d):
+    """Composite scores of pages, penalised by the drift of their words."""
+    p = _pages(spark, d).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "title", "content").alias("text"), F.col("crawled_at").alias("at"))
+    tokens = through_table(DR.drift_tokens(p, "doc_id", "text", "at", 365), "tokens")
+    drift = DR.document_drift(tokens, DR.term_drift(DR.ppmi(tokens, "doc_id")), "doc_id")
+    return R.drift_penalised(R.composite(_features(spark, d)).select("doc_id", "score"), drift).select("doc_id", F.round("score", 6).alias("score"))
 
 
 TOKENS = rf"""SELECT doc_id, win, w, pos FROM (SELECT doc_id, win, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (
@@ -144,6 +211,11 @@ CH = "SELECT user_id, ts, CASE event_type WHEN 'purchase' THEN 'remove' WHEN 'cl
 LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, op DESC, event_id DESC) AS k FROM ({CH})) WHERE k = 1"
 POSTED = "SELECT lower(trim(term)) AS term, doc_id, max(tf) AS tf FROM postings WHERE term IS NOT NULL AND tf IS NOT NULL AND"
 
+TFIDF = " + ".join(f"CAST(t{i} AS DOUBLE) / length * ln(n / greatest(1, d{i}))" for i in range(len(STEMS)))
+LINEAR = f"""{RANKED}, ti AS (SELECT doc_id, length, {TFIDF} AS tf_idf FROM docs_, tot),
+lin AS (SELECT doc_id, exact, 0.15 * tf_idf + 0.2 * bm25 + 0.15 * page_rank + 0.1 * freshness + 0.1 * authority + 0.02 * least(1.0, length / 1000) + 0.03 * density + 0.05 * exact + 0.05 * title AS linear,
+  (0.35 / (1 + exp(-bm25)) + 0.2 * page_rank + 0.15 * freshness + 0.1 * authority + 0.1 * exact + 0.1 * title) * CASE WHEN density > 0.3 THEN 0.5 ELSE 1 END AS composite FROM feats JOIN ti USING (doc_id))"""
+
 ORACLES = {
     "drift_windows": f"SELECT win, count(DISTINCT doc_id) AS docs, count(DISTINCT w) AS terms, count(*) AS tokens FROM ({TOKENS}) GROUP BY win",
     "cooccurrence": f"{CO} SELECT * FROM co",
@@ -169,7 +241,19 @@ SELECT key, count(*) AS hits, count(*) FILTER (WHERE n > 3) AS refused FROM r GR
     "set_union": "SELECT id FROM docs UNION SELECT doc_id FROM postings",
     "set_intersect": "SELECT id FROM docs INTERSECT SELECT doc_id FROM postings",
     "set_except": "SELECT id FROM docs EXCEPT SELECT id FROM page_labels",
-    "ltr_pairs": "WITH o AS (SELECT DISTINCT user_id, event_type FROM events) SELECT a.event_type AS winner, b.event_type AS loser, count(*) AS n FROM o a JOIN o b USING (user_id) WHERE a.event_type = 'purchase' AND b.event_type <> 'purchase' GROUP BY ALL",
-    "ltr_linear_score": "SELECT id, round(0.15 * coalesce(CASE WHEN isnan(page_rank) THEN 0 ELSE page_rank END, 0) + 0.02 * coalesce(length(content), 0), 6) AS score FROM docs",
+    "time_lower_bound": " UNION ALL ".join(f"SELECT epoch_us(TIMESTAMP '{t}') AS t_us, greatest(0, least(count(*) FILTER (WHERE ts < TIMESTAMP '{t}'), count(ts) - 1)) AS idx FROM events" for t in MARKS),
+    "range_vector": """SELECT CAST(i - 1 AS INTEGER) AS i, round(sum(embedding[i]::DOUBLE * n) / sum(n), 6) AS mean FROM (SELECT embedding, vec_id % 7 + 1 AS n FROM embeddings
+WHERE TIMESTAMP '2024-01-01' + to_days((vec_id % 365)::INTEGER) BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-03-01'), range(1, 65) r(i) GROUP BY i""",
+    "merged_means": """SELECT label, CAST(i - 1 AS INTEGER) AS i, round(CASE WHEN n + m > 0 THEN (a[i]::DOUBLE * n + b[i]::DOUBLE * m) / (n + m) ELSE a[i]::DOUBLE END, 6) AS x
+FROM (SELECT label, arg_min(embedding, vec_id) AS a, arg_max(embedding, vec_id) AS b, min(vec_id) AS n, max(vec_id) AS m FROM embeddings GROUP BY label), range(1, 65) r(i)""",
+    "ltr_pairs": "WITH o AS (SELECT user_id, event_id % 97 AS item, bool_or(event_type = 'purchase') AS g FROM events WHERE event_id IS NOT NULL GROUP BY ALL) SELECT a.item AS winner, b.item AS loser, count(*) AS n FROM o a JOIN o b USING (user_id) WHERE a.g AND NOT b.g GROUP BY ALL",
+    "ltr_linear_score": f"{LINEAR} SELECT doc_id, round(linear, 6) AS score FROM lin",
+    "ltr_blend": f"{LINEAR} SELECT doc_id, round(CASE WHEN exact = 0 THEN 0.7 * composite + 0.3 * linear ELSE composite END, 6) AS score FROM lin",
+    "ltr_updated": """WITH o AS (SELECT user_id, event_id % 97 AS item, bool_or(event_type = 'purchase') AS g FROM events WHERE event_id IS NOT NULL GROUP BY ALL),
+it AS (SELECT event_id % 97 AS item, avg(value) AS dwell, count(*)::DOUBLE AS clicks FROM events GROUP BY 1),
+p AS (SELECT w.dwell - l.dwell AS dd, w.clicks - l.clicks AS dc FROM o a JOIN o b USING (user_id) JOIN it w ON w.item = a.item JOIN it l ON l.item = b.item WHERE a.g AND NOT b.g),
+s AS (SELECT avg(dd / (1 + exp(0.08 * dd + 0.07 * dc))) AS gd, avg(dc / (1 + exp(0.08 * dd + 0.07 * dc))) AS gc FROM p)
+SELECT 'dwell' AS feature, round(0.08 + 0.0001 * gd, 6) AS weight FROM s UNION ALL SELECT 'clicks', round(0.07 + 0.0001 * gc, 6) FROM s""",
+    "feature_importance": f"SELECT CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank, feature, importance FROM (VALUES {', '.join(f"('{k}', {v}::DOUBLE)" for k, v in L.WEIGHTS.items())}) v(feature, importance)",
 }
-QUERIES = {k: globals()[k] for k in ORACLES}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "ltr_model", "drift_reranked")}

@@ -62,9 +62,11 @@ def fnv_hashes(spark, d):
 
 
 def duplicate_pages(spark, d):
-    """Documents whose fingerprint is at most 3 bits from that of a crawled page, fingerprints of both taken from whole texts."""
-    known = D.fingerprints(table(spark, d, "docs").where("content IS NOT NULL").select("id", "content").distinct(), "id", "content")
-    return D.near_copies(table(spark, d, "docs").select(F.col("id").alias("doc_id"), F.col("content").alias("text")), known.select("fp")).distinct()
+    """Pages whose later fetches (after the mean time of all) are at most 3 bits from an earlier fetch of any page."""
+    docs = table(spark, d, "docs").where("content IS NOT NULL AND crawled_at IS NOT NULL").select(F.col("id").alias("doc_id"), F.col("content").alias("text"), F.unix_micros("crawled_at").alias("us"))
+    mean = docs.agg(F.avg("us").alias("m")).scalar()
+    known = D.fingerprints(docs.where(F.col("us") < mean))
+    return D.near_copies(docs.where(F.col("us") >= mean), known.select("fp")).distinct()
 
 
 def visited_anti(spark, d):
@@ -98,6 +100,8 @@ SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS INTEGER)
     "bloom_rate": f"{BLOOM} SELECT CAST(sum(bit_count(bits)) AS BIGINT) AS set_bits, round(pow(sum(bit_count(bits)) / any_value(m), any_value(k)), 9) AS false_positive_rate FROM words, shape",
     "bloom_merged": f"{BLOOM} SELECT * FROM words",
     "fnv_hashes": f"SELECT DISTINCT domain, {FNV} AS hash FROM docs WHERE domain IS NOT NULL",
+    "visited_maybe": f"""{BLOOM}, q AS (SELECT entry_id, k, unnest(list_transform(range(k), lambda i: (('0x' || substr(md5(url), 1, 8))::BIGINT + i * ('0x' || substr(md5(url), 9, 8))::BIGINT) % m)) AS b FROM frontier, shape WHERE url IS NOT NULL)
+SELECT entry_id FROM q JOIN words ON word = b >> 5 AND (bits >> (b % 32)) & 1 = 1 GROUP BY entry_id, k HAVING count(*) = k""",
     "visited_anti": "SELECT entry_id, url FROM frontier WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM docs WHERE url IS NOT NULL)",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "near_dup_classes", "duplicate_pages", "visited_maybe")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "near_dup_classes", "duplicate_pages")}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sparrowdex.functions import text as T
 from sparrowdex.operators import queries as Q
+from sparrowdex.functions.register import register
 from sparrowdex.operators import snippets as S
 from sparrowdex.sources.tables import table
 
@@ -51,6 +52,44 @@ def intent_rules(spark, d):
     return table(spark, d, "docs").select("title").distinct().select("title", Q.intent("title").alias("intent"))
 
 
+def intent_broad(spark, d):
+    """Intents by the broader set of patterns."""
+    return table(spark, d, "docs").select("title").distinct().select("title", Q.intent("title", Q.NAVIGATIONAL_BROAD, Q.TRANSACTIONAL_BROAD).alias("intent"))
+
+
+def intent_scores(spark, d):
+    t = table(spark, d, "docs").select("title").distinct()
+    return t.select("title", F.explode(Q.intent_scores("title")).alias("intent", "score"))
+
+
+def next_letters(spark, d):
+    return Q.next_letters(_dictionary(spark, d))
+
+
+def dictionary_deleted(spark, d):
+    """The dictionary after the words of page titles were deleted from it."""
+    words = table(spark, d, "docs").select(F.explode(F.split(F.lower("title"), " ")).alias("word"))
+    return Q.without_words(_dictionary(spark, d), words)
+
+
+def dictionary_json(spark, d):
+    """The dictionary as a line of JSON a word."""
+    return _dictionary(spark, d).select(F.to_json(F.struct("word", "freq")).alias("line"))
+
+
+def sql_functions(spark, d):
+    """Stems and phonetic codes by the registered SQL functions, tokens by the table function."""
+    register(spark)
+    _words(spark, d).select("w").createOrReplaceTempView("sparrowdex_words")
+    return spark.sql("SELECT w, stem(w) AS stem, phonetic(w) AS code FROM sparrowdex_words")
+
+
+def text_tokens(spark, d):
+    register(spark)
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("sparrowdex_texts")
+    return spark.sql("SELECT doc_id, t.pos, t.term FROM sparrowdex_texts, LATERAL text_tokens(text) t")
+
+
 def entities(spark, d):
     e = table(spark, d, "documents").select("doc_id", F.explode(Q.entities("text")).alias("e"))
     return e.select("doc_id", "e.kind", F.size("e.names").alias("n"))
@@ -83,6 +122,12 @@ def sentence_relevance(spark, d):
     return s.select("doc_id", "i", F.round(S.relevance(F.col("sentence"), TERMS), 6).alias("relevance"))
 
 
+def snippet_dated(spark, d):
+    """Snippets with the date before them."""
+    t = table(spark, d, "documents").select("doc_id", "text", F.col("fetched_at").cast("timestamp").alias("at"))
+    return S.with_dated_snippet(t, "slow search index").select("doc_id", "snippet")
+
+
 def snippet_mmr(spark, d):
     return S.with_snippet(table(spark, d, "documents"), "slow search index").select("doc_id", "snippet")
 
@@ -125,6 +170,14 @@ SELECT w, candidate AS best, score FROM (SELECT *, row_number() OVER (PARTITION
     "query_type": r'''SELECT DISTINCT title, CASE WHEN regexp_matches(title, '\b(AND|OR|NOT)\b') THEN 'boolean' WHEN regexp_matches(title, '"[^"]*"') THEN 'phrase'
 WHEN regexp_matches(title, '~[0-9]+') THEN 'fuzzy' ELSE 'natural' END AS kind FROM docs''',
     "intent_rules": f"SELECT DISTINCT title, CASE WHEN {_match(Q.NAVIGATIONAL, 'lower(title)')} THEN 'navigational' WHEN {_match(Q.TRANSACTIONAL, 'lower(title)')} THEN 'transactional' ELSE 'informational' END AS intent FROM docs",
+    "intent_broad": f"SELECT DISTINCT title, CASE WHEN {_match(Q.NAVIGATIONAL_BROAD, 'lower(title)')} THEN 'navigational' WHEN {_match(Q.TRANSACTIONAL_BROAD, 'lower(title)')} THEN 'transactional' ELSE 'informational' END AS intent FROM docs",
+    "intent_scores": f"""SELECT title, i AS intent, CASE WHEN i = found THEN 0.85 ELSE 0.075 END::DOUBLE AS score FROM (SELECT DISTINCT title, CASE WHEN {_match(Q.NAVIGATIONAL, 'lower(title)')} THEN 'navigational'
+WHEN {_match(Q.TRANSACTIONAL, 'lower(title)')} THEN 'transactional' ELSE 'informational' END AS found FROM docs), (VALUES ('navigational'), ('informational'), ('transactional')) v(i)""",
+    "next_letters": f"SELECT substr(word, i, 2) AS pair, substr(word, i + 2, 1) AS letter, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT w AS word, n AS freq, unnest(range(1, length(w) - 1)) AS i FROM ({WORDS}) WHERE n >= 5 AND length(w) >= 3) GROUP BY ALL",
+    "dictionary_deleted": f"SELECT w AS word, n AS freq FROM ({WORDS}) WHERE n >= 5 AND length(w) >= 3 AND w NOT IN (SELECT unnest(string_split(lower(title), ' ')) FROM docs WHERE title IS NOT NULL)",
+    "dictionary_json": f"""SELECT '{{"word":"' || w || '","freq":' || n || '}}' AS line FROM ({WORDS}) WHERE n >= 5 AND length(w) >= 3""",
+    "sql_functions": f"SELECT w, stem, code FROM ({T.sql_steps(f'SELECT DISTINCT w FROM ({T.raw_tokens_sql()})', T.stem_steps(T.DUCK))}) JOIN (SELECT w, code FROM ({SOUNDEX(f'SELECT w FROM ({WORDS})')})) USING (w)",
+    "text_tokens": f"SELECT doc_id, pos, term FROM ({T.terms_sql()})",
     "entities": " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(len(regexp_extract_all(lower(text), '\\b({p})\\b')) AS INTEGER) AS n FROM documents WHERE regexp_matches(lower(text), '\\b({p})\\b')" for k, p in Q.ENTITIES.items()),
     "autocomplete_topk": f"SELECT w AS word, n AS freq FROM ({WORDS}) WHERE starts_with(w, 's') ORDER BY n DESC, w LIMIT 10",
     "suggest_last_word": f"SELECT 'slow ' || w AS suggestion, n AS freq FROM ({WORDS}) WHERE starts_with(w, 'se') ORDER BY n DESC, w LIMIT 5",
@@ -132,4 +185,4 @@ WHEN regexp_matches(title, '~[0-9]+') THEN 'fuzzy' ELSE 'natural' END AS kind FR
     "sentence_pieces": SENT,
     "sentence_relevance": f"""SELECT doc_id, i, round(({HIT}) / {len(TERMS)}.0::DOUBLE * 0.7 + 0.3 * CASE WHEN {HIT} >= 2 THEN greatest(0, 1 - (greatest({', '.join(AT)}) - least({', '.join(f'nullif({a}, 0)' for a in AT)}))::DOUBLE / length(sentence)) ELSE 0 END, 6) AS relevance FROM ({SENT})""",
 }
-QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr", "correct_titles")}
+QUERIES = {k: globals()[k] for k in (*ORACLES, "snippet_mmr", "snippet_dated", "correct_titles")}

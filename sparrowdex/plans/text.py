@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from sparrowdex.functions import text as T
 from sparrowdex.functions.dialect import DUCK, SPARK, apply_steps, sql_steps
 from sparrowdex.operators import index as I
 from sparrowdex.operators import rank as R
-from sparrowdex.operators.store import TextIndex
+from sparrowdex.operators.store import LiveIndex, TextIndex
+from sparrowdex.session import shared_dir
 from sparrowdex.sources.tables import table
 
 #: The queries' words: some that are frequent in the test tables.
@@ -122,6 +125,20 @@ def bool_not(spark, d):
     return _boolean(spark, d, [("NOT", A), ("AND", C), ("NOT", B)])
 
 
+def posting_seek(spark, d):
+    """The first posting of a term from a document id on."""
+    return I.seek(_index(spark, d).of_terms([A]), A, 500)
+
+
+def live_index(spark, d):
+    """Statistics of an index whose documents without a source were added again with other text, and those without a language removed."""
+    docs = _docs(spark, d).select("doc_id", "text", "lang", "source")
+    live = LiveIndex(spark, f"{shared_dir(spark).rstrip('/')}/live-{uuid.uuid4().hex}", 1 << 62)
+    live.change(docs)
+    live.change(docs.where("source IS NULL").withColumn("text", F.concat("text", F.lit(" changed"))), docs.where("lang IS NULL AND source IS NOT NULL").select("doc_id"))
+    return live.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
+
+
 def phrase_match(spark, d):
     return _index(spark, d).phrase(T.query_stems("search box"))
 
@@ -187,6 +204,9 @@ FROM (SELECT *, pos - lag(pos, 1, 0) OVER (PARTITION BY term, doc_id ORDER BY po
     "bool_and": f"{POST} SELECT doc_id, a.tf + b.tf AS tf FROM (SELECT * FROM post WHERE term = '{A}') a JOIN (SELECT * FROM post WHERE term = '{B}') b USING (doc_id)",
     "bool_or": f"{POST} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE term IN ('{A}', '{B}') GROUP BY doc_id",
     "bool_not": f"{POST} SELECT doc_id, tf FROM post WHERE term = '{C}' AND doc_id NOT IN (SELECT doc_id FROM post WHERE term IN ('{A}', '{B}'))",
+    "posting_seek": f"{POST} SELECT doc_id, tf FROM post WHERE term = '{A}' AND doc_id >= 500 ORDER BY doc_id LIMIT 1",
+    "live_index": f"""WITH held AS (SELECT doc_id, CASE WHEN source IS NULL THEN text || ' changed' ELSE text END AS text FROM documents WHERE source IS NULL OR lang IS NOT NULL),
+post AS (SELECT term, doc_id, count(*) AS tf FROM ({T.terms_sql('held')}) GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total_tf FROM post GROUP BY term""",
     "phrase_match": f"""WITH t AS ({TERMS}) SELECT a.doc_id, count(*) AS starts FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
 WHERE a.term = '{B}' AND b.term = '{T.query_stems('box')[0]}' GROUP BY a.doc_id""",
     "fuzzy_match": f"{POST} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS tf FROM post WHERE levenshtein(term, 'indez') <= 2 GROUP BY doc_id",
