@@ -119,7 +119,7 @@ def fit_centroids(vectors: DataFrame, count: int, sample: int = 20000, rounds: i
     return c
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, share: float = 0.35, key: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, share: float = 0.65, key: str = "vec_id", column: str = "embedding", block: int = 4096) -> DataFrame:
     """(query, key, score, rank) by an inverted file: every vector is in the list of its nearest centroid, a query looks into the
     share `share` of the lists, nearest first. Approximate: a neighbour in another list is missed; the recall is tested.
 
