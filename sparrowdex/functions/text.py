@@ -230,6 +230,12 @@ def ngrams(tokens: Column, n: int, sep: str) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), sep))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_rows(words: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """(key, shingle): each run of n successive elements of the arrays `ws`, joined by a blank; arrays are cut once, not for each run."""
+    cut = F.arrays_zip(*[F.slice("ws", i + 1, F.greatest(F.lit(0), F.size("ws") - (n - 1))).alias(f"w{i}") for i in range(n)])
+    return words.select(key, F.explode(cut).alias("z")).select(key, F.concat_ws(" ", *[F.col("z")[f"w{i}"] for i in range(n)]).alias("shingle"))
+
+
 def simple_words(text: Column | str) -> Column:
     """Lower-cased ASCII words, other characters as blanks; the form near-duplicate fingerprints are made of."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9_\\s]", " "), "\\s+"), lambda w: w != "")

@@ -63,7 +63,8 @@ def ngrams_2(spark, d):
 
 
 def shingles_3(spark, d):
-    g = _docs(spark, d).select("doc_id", F.explode(T.ngrams(T.simple_words("text"), 3, " ")).alias("shingle"))
+    words = _docs(spark, d).select("doc_id", T.simple_words("text").alias("ws")).where("ws IS NOT NULL")
+    g = T.shingle_rows(words, 3).select("doc_id", "shingle")
     return g.groupBy("doc_id").agg(F.count("*").alias("shingles"), F.countDistinct("shingle").alias("distinct_shingles"))
 
 
