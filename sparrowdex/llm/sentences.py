@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ NOTHING = Lexicon({}, frozenset())
 FIRST_WORD = re.compile("[^\\W\\d_]?[^\\W\\d_\u0300-\u036f]*(?:[\u0300-\u036f]|[^\\W\\d_])*")
 #: Names of months in languages that write ordinals with a full stop; the corpus adds to them.
 MONTHS = frozenset("januar janner februar marz april mai juni juli august september oktober november dezember".split())
+QUOTES = re.compile("[" + re.escape("".join({'"', *PAIRS, *PAIRS.values()})) + "]")
 #: The word under which the lexicon has runs of dots.
 DOTS = "…"
 #: Letters of scripts that are written without blanks, in lines of which without any sign each letter may end a sentence.
@@ -63,7 +65,8 @@ def _thai(c: str) -> bool:
 def _pairs(line: str) -> list[tuple[int, int]]:
     """Places of quotations and brackets that are both opened and closed in the line, outermost ones and inner ones."""
     out, stack, straight = [], [], None
-    for i, c in enumerate(line):
+    for m in QUOTES.finditer(line):
+        i, c = m.start(), m[0]
         if c == '"':
             if straight is None:
                 straight = i
@@ -362,26 +365,54 @@ def train(texts: list[str], lexicon: Lexicon = NOTHING, rounds: int = 8) -> dict
 AT_END, GOES_ON, ODDS = 0.01, 2.0, 20.0
 
 
+RUN_OF_DOTS = re.compile(r"\.{2,}|…+")
+#: A full stop after a word or a run of dots, with what follows: blanks and a word, or the line's end.
+STOP = regex.compile(r"(?m)(?:(?<![^\s(])([\p{L}\p{N}][\p{L}\p{M}\p{N}.]*)|(…))\.(?=[ \xa0]+([\p{L}\p{N}][\p{L}\p{M}]*)|[ \xa0]*$|(?<=…\.)([\p{L}\p{N}]))")
+
+
+def _stops(text: str) -> Iterator[tuple[str, str]]:
+    """(word, word after it or nothing at a line's end) of each full stop of a text; runs of dots are the word DOTS."""
+    if "." in text or "…" in text:
+        for m in STOP.finditer(RUN_OF_DOTS.sub(DOTS + ".", text.replace("\r", "\n"))):
+            yield plain(m[1] or m[2]), m[3] or m[4] or ""
+
+
 def learn_lexicon(documents: DataFrame) -> Lexicon:
     """The lexicon of a corpus, counted over all documents, whatever the length or frequency of words.
 
-    Of each word before a full stop is counted how often a line ends there and how often a small letter or a digit comes next.
+    Counts are kept by task and summed. Of each word before a full stop is counted how often a line ends there and how often a small letter or a digit comes next.
     A word that ends lines as rarely as an abbreviation does and not as other words do is of kind never; else one that goes on
     more than GOES_ON times as often as words do is of kind maybe. Words after a number and a full stop, rather than after
     another sentence, go on after ordinals. All three are odds of binomial models, so a few occurrences decide nothing. What comes to the
     driver are the words with such odds; their number is that of a language's abbreviations, it doesn't grow with the documents.
     """
-    low = lambda c: F.translate(F.regexp_replace(F.lower(c), "[\\x{300}-\\x{36f}]", ""), *ACCENTS)
-    text = F.regexp_replace(F.translate("text", "\x01\x02\x03", ""), r"\.{2,}|…+", DOTS + ".")
-    marked = F.regexp_replace(text, r"(?m)(?:(?<![^\s(])([\p{L}\p{N}][\p{L}\p{M}\p{N}.]*)|(…))\.(?=[ \x{a0}]+([\p{L}\p{N}][\p{L}\p{M}]*)|[ \x{a0}]*$|(?<=…\.)([\p{L}\p{N}]))", "\x01$1$2\x02$3$4\x03")
-    found = F.regexp_extract_all(marked, F.lit("\x01([^\x03]*)\x03"), F.lit(1))
-    rows = documents.where("text IS NOT NULL").select(F.explode(found).alias("s")).select(low(F.substring_index("s", "\x02", 1)).alias("w"), F.substring_index("s", "\x02", -1).alias("next"))
-    number = F.col("w").rlike("^[0-9]{1,2}$")
-    small, capital = F.col("next").rlike(r"^\p{Ll}"), F.col("next").rlike(r"^\p{Lu}")
-    dot = F.struct(F.lit("w").alias("kind"), F.col("w").alias("key"), (F.col("next") == "").cast("long").alias("a"), small.cast("long").alias("b"))
-    after = F.struct(F.lit("o").alias("kind"), low(F.col("next")).alias("key"), number.cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    both = F.filter(F.array(F.when(~F.col("w").rlike("^[0-9.]*$"), dot), F.when(capital, after)), lambda x: x.isNotNull())
-    counts = rows.select(F.explode(both).alias("x")).groupBy("x.kind", "x.key").agg(F.count("*").alias("n"), F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["kind", "key", "n", "a", "b"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for w, after in _stops(text or ""):
+                    if w.strip("0123456789."):
+                        n = held.setdefault(("w", w), [0, 0, 0])
+                        n[0] += 1
+                        n[1] += not after
+                        n[2] += after[:1].islower()
+                    if after[:1].isupper():
+                        n = held.setdefault(("o", plain(after)), [0, 0, 0])
+                        n[0] += 1
+                        n[1] += len(w) <= 2 and w.isdecimal()
+            if len(held) > 1 << 18:
+                yield flush()
+        yield flush()
+
+    counts = documents.select("text").mapInArrow(count, "kind string, key string, n long, a long, b long")
+    counts = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = through_table(counts, "full-stops")
     rate = {r.kind: r.a / r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).collect()}
     if not rate:
