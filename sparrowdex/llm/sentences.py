@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,15 +366,27 @@ AT_END, GOES_ON, ODDS = 0.01, 2.0, 20.0
 
 
 RUN_OF_DOTS = re.compile(r"\.{2,}|…+")
-#: A full stop after a word or a run of dots, with what follows: blanks and a word, or the line's end.
-STOP = regex.compile(r"(?m)(?:(?<![^\s(])([\p{L}\p{N}][\p{L}\p{M}\p{N}.]*)|(…))\.(?=[ \xa0]+([\p{L}\p{N}][\p{L}\p{M}]*)|[ \xa0]*$|(?<=…\.)([\p{L}\p{N}]))")
+#: A full stop with what follows: blanks and a word, the line's end, or a word that is glued to a run of dots.
+STOP = re.compile(r"(?m)\.(?=[ \xa0]+([^\W_])|[ \xa0]*$|(?<=…\.)([^\W_]))")
 
 
 def _stops(text: str) -> Iterator[tuple[str, str]]:
     """(word, word after it or nothing at a line's end) of each full stop of a text; runs of dots are the word DOTS."""
-    if "." in text or "…" in text:
-        for m in STOP.finditer(RUN_OF_DOTS.sub(DOTS + ".", text.replace("\r", "\n"))):
-            yield plain(m[1] or m[2]), m[3] or m[4] or ""
+    if "." not in text and "…" not in text:
+        return
+    text = RUN_OF_DOTS.sub(DOTS + ".", text.replace("\r", "\n"))
+    for m in STOP.finditer(text):
+        i = k = m.start()
+        if text[i - 1 : i] == DOTS:
+            w = DOTS
+        else:
+            while k and not text[k - 1].isspace() and text[k - 1] != "(":
+                k -= 1
+            w = text[k:i]
+            if not w[:1].isalnum() or not (w.replace(".", "").isalnum() or all(c.isalnum() or c == "." or unicodedata.category(c)[0] == "M" for c in w)):
+                continue
+        at = max(m.start(1), m.start(2))
+        yield plain(w), FIRST_WORD.match(text, at)[0] or text[at] if at >= 0 else ""
 
 
 def learn_lexicon(documents: DataFrame) -> Lexicon:
