@@ -6,13 +6,18 @@ import math
 import re
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS, PAIRED = 64, 12
+from sparrowdex.session import through_table
+
+BITS = 64
+#: Of near duplicates: bits of a block that tell its cells, rows in a part of a cell, and candidates that are looked at at once.
+PARTED, CELL, PAIRS = 10, 1 << 17, 1 << 20
 
 
 def simhash(text: str | None) -> int | None:
@@ -54,27 +59,120 @@ def bands(fp: DataFrame, count: int = 16, key: str = "doc_id") -> DataFrame:
     return fp.select(key, "fp", F.explode(parts).alias("p")).select(key, "p.band", "p.value", "fp")
 
 
+def _masks(start: int, parts: int) -> list[np.uint64]:
+    """Masks of the bits from `start` on, cut into parts of nearly equal width."""
+    cuts = [start + round((BITS - start) * i / parts) for i in range(parts + 1)]
+    return [np.uint64((1 << hi) - (1 << lo)) for lo, hi in pairwise(cuts)]
+
+
+def _meeting(fp: np.ndarray, side: np.ndarray, mask: np.uint64, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, bits that differ) of the positions that agree under the mask and differ in at most `most` bits, PAIRS candidates
+    at a time. If there are two sides, only pairs across them."""
+    n, key = len(fp), fp & mask
+    order = np.lexsort((side, key)) if side.any() else np.argsort(key)
+    f, k = fp[order], key[order]
+    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    lengths = np.diff(np.r_[starts, n])
+    ends = np.repeat(starts + lengths, lengths)
+    if side.any():  # in a run of equal keys those of side 0 come first and meet those of side 1
+        s = side[order]
+        begins = np.repeat(starts + np.add.reduceat(1 - s, starts), lengths)
+        count = np.where(s == 1, 0, ends - begins)
+    else:
+        begins = np.arange(1, n + 1)
+        count = ends - begins
+    total = np.cumsum(count)
+    at, done = 0, 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+        c, upto = count[at:to], total[at:to] - done
+        y = np.arange(upto[-1]) + np.repeat(begins[at:to] - (upto - c), c)
+        differ = np.repeat(f[at:to], c) ^ f[y]
+        hit = np.flatnonzero(np.bitwise_count(differ) <= most)
+        if len(hit):
+            yield order[at + np.searchsorted(upto, hit, "right")], order[y[hit]], differ[hit]
+        at, done = to, int(total[to - 1])
+
+
+def near_pairs(fp: np.ndarray, side: np.ndarray, shared: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, distance) of positions at most `most` bits apart, for which block `shared` of the most + 2 is the first they share.
+
+    The blocks before it differ in a bit each, so the bits behind it differ in most - shared at most: cut into r blocks more
+    than that, they share at least r. All choices of r blocks are keys; r is the one that costs least at this number of rows.
+    A pair is kept at the first key that it shares only.
+    """
+    outer = _masks(0, most + 2)
+    start = round(BITS * (shared + 1) / (most + 2))
+    left, n = most - shared, len(fp)
+    met = lambda r: n * n / 2 ** (1 + r * (BITS - start) / max(1, left + r))
+    keys = min(range(5), key=lambda r: math.comb(left + r, r) * (30_000 + 60 * n + 10 * met(r)))  # nanoseconds
+    inner = _masks(start, max(1, left + keys))
+    for chosen in combinations(range(left + keys), keys):
+        mask = np.bitwise_or.reduce([outer[shared], *(inner[i] for i in chosen)])
+        unshared = outer[:shared] + [inner[i] for i in range(chosen[-1] if chosen else 0) if i not in chosen]
+        for x, y, differ in _meeting(fp, side, mask, most):
+            first = np.all([differ & m != 0 for m in unshared], axis=0) if unshared else np.ones(len(x), bool)
+            yield x[first], y[first], np.bitwise_count(differ[first]).astype(np.int32)
+
+
 def near_duplicates(fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
     """(a, b, distance) of different fingerprints at most `most` bits apart, each standing for all documents that have it.
 
-    Equal fingerprints are one row first, so copies aren't paired. The 64 bits are cut into most + 2 blocks, of which two such
-    fingerprints share at least two; so the equi-join on pairs of blocks finds all of them, at about 128 / (most + 2) bits a key.
-    (With more than PAIRED bits pairs of blocks are too many, and single ones of most + 1 are used.)
-    A pair is kept at the first key that it shares only; the distance is checked in the join, so hot keys, which AQE
-    splits, don't write what they meet.
+    Equal fingerprints are one row first, so copies aren't paired; these rows go through a table. The 64 bits are cut into
+    most + 2 blocks, of which two such fingerprints share at least two. A fingerprint is sent to a cell for each block but the
+    last, by PARTED bits of its value, and the pairs whose first shared block this is are looked for in arrays (`near_pairs`).
+    That is most + 1 rows a fingerprint and no join, so nothing is broadcast whose size Spark misjudges (it takes exploded
+    rows for as many as there were before). Cells of more than CELL rows are split into parts of which any two meet
+    in a cell of their own; to tell them at most (most + 1) * 2 ** PARTED counts come to the driver.
     """
-    one = fp.groupBy("fp").agg(F.min(key).alias(key))
-    blocks = most + 2 if most <= PAIRED else most + 1
-    cuts = [round(BITS * i / blocks) for i in range(blocks + 1)]
-    block = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 64 else -1))
-    both = [(i, j) for j in range(blocks) for i in range(j)] if most <= PAIRED else [(i, i) for i in range(blocks)]
-    keys = F.array(*[F.struct(F.lit(n).alias("n"), block("fp", i).alias("x"), block("fp", j).alias("y")) for n, (i, j) in enumerate(both)])
-    b = one.select("fp", key, F.explode(keys).alias("k")).select("k.*", "fp", key)
-    l, r = b.select("n", "x", "y", F.col(key).alias("a"), F.col("fp").alias("fa")), b.select("n", "x", "y", F.col(key).alias("b"), F.col("fp").alias("fb"))
-    met = l.join(r, ["n", "x", "y"]).where(F.col("a") < F.col("b")).where(F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= most)
-    same = [block("fa", i) == block("fb", i) for i in range(blocks)]
-    first = F.coalesce(*[F.when(same[i] & same[j], F.lit(n)) for n, (i, j) in enumerate(both)])
-    return met.where(F.col("n") == first).select("a", "b", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))).alias("distance"))
+    one = through_table(fp.where(F.col(key).isNotNull() & F.col("fp").isNotNull()).groupBy("fp").agg(F.min(key).alias(key)), "fingerprints")
+    cuts = [round(BITS * i / (most + 2)) for i in range(most + 3)]
+    value = lambda i: F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << min(PARTED, cuts[i + 1] - cuts[i])) - 1))
+    rows = one.select("fp", key, F.explode(F.array(*[value(i) + F.lit(i << PARTED) for i in range(most + 1)])).alias("v"))
+    large = [(r.v, -(-r["count"] // CELL)) for r in rows.groupBy("v").count().where(F.col("count") > CELL).collect()]
+    if large:
+        rows = rows.join(F.broadcast(fp.sparkSession.createDataFrame(large, "v long, parts long")), "v", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("p", F.pmod(F.xxhash64("fp"), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    else:
+        rows = rows.withColumn("p", F.lit(0)).withColumn("q", F.lit(0))
+    cell = F.shiftleft(F.shiftleft("v", 20) + F.least("p", "q"), 20) + F.greatest("p", "q")
+    cells = rows.select(cell.alias("cell"), (F.col("p") > F.col("q")).cast("long").alias("side"), "fp", key).repartition("cell").sortWithinPartitions("cell")
+
+    def near(held: list[pa.RecordBatch], cell: int) -> Iterator[pa.RecordBatch]:
+        """The pairs of a cell."""
+        t = pa.Table.from_batches(held)
+        ids = t.column(3).to_numpy()
+        for x, y, d in near_pairs(t.column(2).to_numpy().view(np.uint64), t.column(1).to_numpy(), cell >> 40 + PARTED, most):
+            x, y = ids[x], ids[y]
+            less, other = x < y, x != y
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(less, x, y)[other], t.schema.field(3).type), pa.array(np.where(less, y, x)[other], t.schema.field(3).type), pa.array(d[other])], ["a", "b", "distance"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = -1
+        for b in batches:
+            c = b.column(0).to_numpy()
+            for lo, hi in pairwise([0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]):
+                if lo < hi and c[lo] != last:
+                    if held:
+                        yield from near(held, last)
+                    held, last = [], int(c[lo])
+                held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from near(held, last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small: list[pa.RecordBatch] = []
+        for b in found(batches):
+            small.append(b)
+            if sum(map(len, small)) >= 10_000 or len(small) > 1000:
+                yield from pa.Table.from_batches(small).combine_chunks().to_batches(10_000)
+                small = []
+        if small:
+            yield from pa.Table.from_batches(small).combine_chunks().to_batches(10_000)
+
+    kind = fp.schema[key].dataType.simpleString()
+    return cells.mapInArrow(run, f"a {kind}, b {kind}, distance int")
 
 
 def near_copies(new: DataFrame, known: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:

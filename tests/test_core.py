@@ -1,8 +1,10 @@
 """Core operators on small cases: fixtures of the text kernel, index, ranking, spelling, duplicates, streams."""
 
 import math
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,36 @@ def test_fingerprints(spark):
     assert {r.doc_id: r["class"] for r in D.exact_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
 
 
+def test_near_duplicates_without_join(spark, monkeypatch):
+    rng = random.Random(4)
+    fps = [rng.getrandbits(64) for _ in range(60)] + [i << 12 for i in range(90)]
+    for f in fps[:60]:
+        fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 12))) for _ in range(4)]
+    fps = [*(f - (f >> 63 << 64) for f in fps + fps[:5]), -1, 0]
+    df = spark.createDataFrame([(1000 - i, f) for i, f in enumerate(fps)] + [(None, 77), (5000, None)], "doc_id long, fp long")
+    assert D.near_duplicates(df.limit(0), 9).count() == 0
+    least = {f: 1000 - i for i, f in enumerate(fps)}
+    far = {(least[f], least[g]): bin((f ^ g) & (1 << 64) - 1).count("1") for f in least for g in least if least[f] < least[g]}
+    for most, cell in ((9, 1 << 17), (9, 8), (3, 8), (0, 8), (20, 1 << 17)):
+        monkeypatch.setattr(D, "CELL", cell, raising=False)
+        pairs = D.near_duplicates(df, most)
+        got = [((r.a, r.b), r.distance) for r in pairs.collect()]
+        assert sorted(got) == sorted(x for x in far.items() if x[1] <= most)
+        if cell > 8:  # the keys of all fingerprints were broadcast, as if they were as few as these
+            assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_cell(monkeypatch):
+    rng = np.random.default_rng(4)
+    fp = np.unique(np.concatenate([x := rng.integers(0, 1 << 64, 30, dtype=np.uint64), *(x ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 30)).astype(np.uint64)) for n in range(1, 14))]))
+    far = np.bitwise_count(fp[:, None] ^ fp)
+    for side, most, block in ((s, m, b) for s in (fp & 0, fp & 1) for m in (0, 3, 9, 40) for b in (1 << 20, 5) if m < 40 or b > 5):
+        monkeypatch.setattr(D, "PAIRS", block)
+        got = [(min(p), max(p), d) for s in range(most + 1) for x, y, d in D.near_pairs(fp, side.astype(np.int64), s, most) for *p, d in zip(x.tolist(), y.tolist(), d.tolist())]
+        want = [(i, j, int(far[i, j])) for i in range(len(fp)) for j in range(i + 1, len(fp)) if far[i, j] <= most and (not side.any() or side[i] != side[j])]
+        assert sorted(got) == want
+
+
 def test_bloom(spark):
     v = spark.createDataFrame([(f"u{i}",) for i in range(500)] + [(None,)], "u string")
     m, k = D.bloom_shape(1000)
