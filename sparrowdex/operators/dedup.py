@@ -177,9 +177,9 @@ def near_duplicates(fp: DataFrame, most: int = 3, key: str = "doc_id") -> DataFr
 
 def near_copies(new: DataFrame, known: DataFrame, most: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of new documents whose fingerprint is at most `most` bits from one of `known` (key, fp): copies, edited or not."""
-    asked = fingerprints(new, key, text)
+    asked = through_table(fingerprints(new, key, text), "asked")
     both = asked.select("fp", F.lit(1).alias("new")).unionByName(known.select("fp", F.lit(0).alias("new"))).groupBy("fp").agg(F.max("new").alias("asked"), F.min("new").alias("own"))
-    marked = both.select(F.col("fp").alias(key), "fp", "asked", (F.col("own") == 0).alias("known"))
+    marked = through_table(both.select(F.col("fp").alias(key), "fp", "asked", (F.col("own") == 0).alias("known")), "marked")
     pairs = near_duplicates(marked.select(key, "fp"), most, key)
     ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     hit = ends.join(marked.where("known").select(F.col(key).alias("y")), "y", "left_semi").select("x").union(marked.where("known AND asked = 1").select("fp")).distinct()
